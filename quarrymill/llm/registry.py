@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import chat, mixing, rules
+from quarrymill.llm import chat, mixing, packing, quality, rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -21,6 +21,25 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized_pieces(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(pieces)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    vectors, model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, vectors, model)
+    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -49,6 +68,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
+    "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
 }
