@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import chat, minhash, mixing, packing, quality, rules
+from quarrymill.llm import chat, minhash, mixing, packing, quality, rules, substrings
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_copied(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_source_mixing": op3_source_mixing,
     "op4_packing": op4_packing,
