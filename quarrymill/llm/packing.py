@@ -34,7 +34,7 @@ from quarrymill.llm.common import Scratch, chunks, texts
 CAPACITY = 2048
 ROUNDS = 300
 #: Pieces of a (length, bucket) group, about, once a length has more.
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 1000
 
 
 @lru_cache(maxsize=1)
@@ -44,24 +44,70 @@ def _known(path: str) -> WordTokens:
 
 
 class WordTokens(dict):
-    """Token ids of a word as little-endian unsigned 32-bit numbers, by a tokenizer that never joins across white
-    space; kept for words seen lately, in a bounded table."""
+    """Token ids of a word as little-endian unsigned 32-bit numbers, by a tokenizer that drops white space, lowers
+    case and marks word ends; kept for words seen lately, in a bounded table.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    Most words are letters with a run of signs after them. The tokenizer cuts between the two, so letters and runs are
+    learnt apart, letters many at a time in one string: the marked word ends say where one ends."""
+
+    SIGNS = ".,;:!?$%&*#|"
+
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.runs = Tokenizer.from_file(path), limit, {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.limit:
+            kept = [(w, self[w]) for w in words if w in self]
             self.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, got, strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.update(kept)
+        parts, letters, rest, runs = [], set(), [], set()
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(self.SIGNS)
+            if core and core.lower().isalpha():
+                run, key = text[len(core) :], core.encode()
+                parts.append((w, key, run))
+                runs.add(run)
+                if key not in self:
+                    letters.add(key)
+            else:
+                rest.append(w)
+        self._learn_letters(list(letters))
+        for run in runs - self.runs.keys():
+            if len(self.runs) > 100_000:
+                self.runs = {"": b""}
+            self.runs[run] = self._one(run)
+        for w, key, run in parts:
+            self[w] = self[key] + (self.runs[run] if run in self.runs else self._one(run))
+        for w in rest:
+            self[w] = self._one(w.decode("utf-8", "replace"))
+
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.asarray(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(at) != len(some) + 1:  # a letter that lower case or composition turns into something else
+                for w in some:
+                    self[w] = self._one(w.decode())
+                continue
+            raw = ids.tobytes()
+            for w, x, y in zip(some, at[:-1], at[1:], strict=True):
+                self[w] = raw[x:y]
+
+
+def _lowered(text: bytes) -> bytes:
+    """A-Z in lower case, as the tokenizer reads them, unless the text may hold a special token's string."""
+    return text if b"<|" in text else text.lower()
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -73,8 +119,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         for batch in batches:
             for part in chunks(batch):
                 rows, piece, start, length, crc = [], [], [], [], []
-                split = [x.split() for x in texts(part)]
-                known.learn({w for x in split for w in x})
+                split = [_lowered(x).split() for x in texts(part)]
+                known.learn(set().union(*split))
                 for i, words in enumerate(split):
                     ids = b"".join(map(known.__getitem__, words)) + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
