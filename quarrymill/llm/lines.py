@@ -122,7 +122,11 @@ def linked_lines(distinct: DataFrame, scratch: Scratch, tau: int = TAU, min_char
     once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & once & (apart <= 2 * tau))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.line").alias("_x"), F.col("y.line").alias("_y")).distinct()
-    good = pairs.where(within(F.split("_x", ""), F.split("_y", ""), tau))
+    # written first: verification then runs once for each pair, after all that is cheaper
+    pairs = scratch.table(pairs)
+    # through an array of one struct, so that the texts are split once for each pair and not at each step
+    both = F.array(F.struct(F.split("_x", "").alias("a"), F.split("_y", "").alias("b")))
+    good = pairs.where(F.transform(both, lambda s: within(s["a"], s["b"], tau))[0])
     return good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
