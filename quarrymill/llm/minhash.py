@@ -6,12 +6,13 @@
    densification). BANDS bands of consecutive ranges become bucket keys. At similarity 0.85 two sets share no bucket with a
    chance under 1e-8.
 2. Equal sets are one node, named by its smallest doc_id, so a third of all rows being copies is one row here.
-3. In each bucket one member is the centre (least under an order of the bucket's own, so a document has different
-   centres in different buckets) and all others are candidates with it alone: pairs grow as members, not their square.
+3. In each bucket the node of smallest doc_id is the centre and all others are candidates with it alone: pairs grow
+   as members, not their square.
 4. Candidates are confirmed on their full sets, read from the whole texts, and links give components.
 5. A star may miss a link between two members that are not the centre. Buckets whose members are still in different
-   components are opened again, without the members that were centres, with twice as many centres each time, until
-   every pair of a bucket has been compared or is in one component. Nothing is capped.
+   components stay open. A node with so many shingles that no other open node has that no intersection can be large
+   enough has no link, and leaves (again and again, as others leave). The rest is opened with twice as many centres each time, without
+   those that were centres, until every pair of a bucket is compared, ruled out or in one component. Nothing is capped.
 
 Cases: null, empty or blank texts have the empty set and are linked with nothing; fewer words than a shingle make one
 shingle; texts are read whole; rows that repeat are equal sets; rows that share a doc_id count as one document; an
@@ -124,31 +125,42 @@ def confirm(pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def shingle_rows(texts_of: DataFrame) -> DataFrame:
+    """(node, text) -> node, g: a row for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            for part in chunks(batch):
+                sets = shingle_sets(texts(part), hashes)
+                nodes = np.repeat(np.asarray(part.column("node"), np.int64), [len(s) for s in sets])
+                g = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                for i in range(0, len(g), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(g[i : i + 100_000])], names=["node", "g"])
+
+    return texts_of.mapInArrow(run, "node long, g long")
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
     ids = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(signatures(docs))
-    nodes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    nodes = scratch.table(nodes)
-    first = signed.join(nodes, (signed["set_id"] == nodes["set_id"]) & (signed["doc_id"] == nodes["node"])).select("node", "bands")
-    banded = first.select("node", F.explode("bands").alias("key"))
-    # the centre of a bucket: the least node under an order that the bucket's key makes
-    mine = F.col("node").bitwiseXOR(F.col("key"))
-    crowds = banded.groupBy("key").agg(F.min(mine).alias("_m"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
-    crowds = crowds.select("key", F.col("_m").bitwiseXOR(F.col("key")).alias("centre"))
-    shared = scratch.table(banded.join(crowds, "key").select("key", "node", "centre").distinct())
+    nodes = scratch.table(signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("node")))
+    first = signed.join(nodes, (signed["set_id"] == nodes["set_id"]) & (signed["doc_id"] == nodes["node"])).select("node", F.col("n_shingles").alias("n"), "bands")
+    banded = first.select("node", "n", F.explode("bands").alias("key"))
+    crowds = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_b")).where("centre < _b").select("key", "centre")
+    shared = scratch.table(banded.join(crowds, "key").select("key", "node", "n", "centre").distinct())
+    members = shared.select("node").distinct()
+    # the texts of all candidates, once: what follows reads these and no longer all documents
+    whole = scratch.table(docs.join(members, docs["doc_id"] == members["node"]).select("node", "text"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that the full sets confirm."""
-        pairs = scratch.table(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        whole = scratch.table(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text"))
         left = pairs.join(whole.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        out = scratch.table(confirm(left.join(whole.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"), similarity).distinct())
-        scratch.drop(whole)
-        return out
+        both = left.join(whole.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return scratch.table(confirm(both.select("a", "b", "text_a", "text_b"), similarity).distinct())
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
@@ -156,29 +168,40 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     tried = scratch.table(ordered(shared.select(F.col("centre").alias("x"), F.col("node").alias("y"))))
     links = linked(tried)
     labels = scratch.table(components(links, scratch))
-    waiting, centres = shared.where("node <> centre").select("key", "node"), 1
+    waiting, centres, pruned = shared.where("node <> centre").select("key", "node", "n"), 1, False
     while True:
-        seen = waiting.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        seen = waiting.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
         open_keys = seen.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key")
         seen = scratch.table(seen.join(open_keys, "key"))
         if seen.isEmpty():
             break
+        if not pruned:
+            # a shingle that no other waiting node has is in no intersection: nodes with too many of them have no link
+            rows = shingle_rows(whole.join(seen.select("node").distinct(), "node"))
+            lonely = rows.groupBy("g").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("node")).where("_c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("_u"))
+            dead = scratch.table(seen.select("node", "n").distinct().join(lonely, "node").where(100 * (F.col("n") - F.col("_u")) < similarity * F.col("n")).select("node"))
+            pruned = dead.isEmpty()
+            waiting = seen.join(dead, "node", "left_anti").select("key", "node", "n")
+            continue
         centres *= 2
-        place = F.row_number().over(W.partitionBy("key").orderBy(mine))
+        # an order of the bucket's own, so that a node has different centres in different buckets
+        place = F.row_number().over(W.partitionBy("key").orderBy(F.col("node").bitwiseXOR(F.col("key"))))
         middle = scratch.table(seen.withColumn("_p", place).where(F.col("_p") <= centres).drop("_p"))
-        others = seen.select("key", F.col("node").alias("y"), F.col("label").alias("_other"))
-        pairs = middle.join(others, "key").where("label <> _other").select(F.col("node").alias("x"), "y")
-        fresh = ordered(pairs).join(tried, ["a", "b"], "left_anti")
-        fresh = scratch.table(fresh)
+        others = seen.select("key", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("label").alias("_other"))
+        fits = (100 * F.col("n") >= similarity * F.col("_n")) & (100 * F.col("_n") >= similarity * F.col("n"))
+        pairs = middle.join(others, "key").where((F.col("label") != F.col("_other")) & fits).select(F.col("node").alias("x"), "y")
+        fresh = scratch.table(ordered(pairs).join(tried, ["a", "b"], "left_anti"))
         tried = scratch.table(tried.union(fresh))
         found = linked(fresh)
         if not found.isEmpty():
             links = scratch.table(links.union(found))
             labels = scratch.table(components(links, scratch))
-        waiting = seen.join(middle.select("key", "node"), ["key", "node"], "left_anti").select("key", "node")
+        waiting = seen.join(middle.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
+        pruned = False
     names = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
     component = F.coalesce("label", "doc_id")
+    scratch.drop(whole)
     return rows.select(F.col("doc_id").cast(ids).alias("doc_id"), "n_shingles", component.cast(ids).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
