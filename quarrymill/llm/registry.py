@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import chat, lines, minhash, mixing, packing, quality, rules, substrings
+from quarrymill.llm import chat, lines, minhash, mixing, neighbours, packing, quality, rules, substrings
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -48,6 +48,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.duplicate_lines(_read(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
@@ -92,6 +97,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESC = r"'[<\[]\\*(\||/?s>|/?INST\])'"
 
 SQL: dict[str, str] = {
+    # the index verifies every vector of a shard of up to 1,500, so the small tables' results are exact
+    "op6_neighbours": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        )
+        SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)::INT AS rank,
+            c.vec_id, list_inner_product(q.v, c.v) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 20""",
     "op8_chat_format": rf"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
