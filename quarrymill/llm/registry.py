@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import chat, lines, minhash, mixing, neighbours, packing, quality, rules, substrings
+from quarrymill.llm import chat, lines, minhash, mixing, neighbours, packing, pitman_yor, quality, rules, substrings
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -82,6 +82,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = pitman_yor.score(docs, quality.remainder(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_duplicates": op2_near_duplicates,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 _ESC = r"'[<\[]\\*(\||/?s>|/?INST\])'"
