@@ -52,10 +52,10 @@ class WordTokens(dict):
 
     SIGNS = ".,;:!?$%&*#|"
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.runs = Tokenizer.from_file(path), limit, {"": b""}
+        self.tokenizer, self.limit, self.runs = Tokenizer.from_file(path), limit, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -66,25 +66,29 @@ class WordTokens(dict):
             kept = [(w, self[w]) for w in words if w in self]
             self.clear()
             self.update(kept)
-        parts, letters, rest, runs = [], set(), [], set()
+        parts, letters, rest, runs = [], [], [], set()
+        signs = self.SIGNS.encode()
         for w in new:
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(self.SIGNS)
-            if core and core.lower().isalpha():
-                run, key = text[len(core) :], core.encode()
-                parts.append((w, key, run))
-                runs.add(run)
-                if key not in self:
-                    letters.add(key)
-            else:
+            core = w.rstrip(signs)
+            if not core or not (core.isalpha() or core.decode("utf-8", "replace").lower().isalpha()):
                 rest.append(w)
-        self._learn_letters(list(letters))
+            elif len(core) == len(w):
+                letters.append(w)
+            else:
+                parts.append((w, core, w[len(core) :]))
+        known = set(letters)
+        for _, core, run in parts:
+            runs.add(run)
+            if core not in known and core not in self:
+                known.add(core)
+                letters.append(core)
+        self._learn_letters(letters)
         for run in runs - self.runs.keys():
-            if len(self.runs) > 100_000:
-                self.runs = {"": b""}
-            self.runs[run] = self._one(run)
-        for w, key, run in parts:
-            self[w] = self[key] + (self.runs[run] if run in self.runs else self._one(run))
+            self.runs[run] = self._one(run.decode())
+        for w, core, run in parts:
+            self[w] = self[core] + self.runs[run]
+        if len(self.runs) > 100_000:
+            self.runs = {}
         for w in rest:
             self[w] = self._one(w.decode("utf-8", "replace"))
 
@@ -92,17 +96,17 @@ class WordTokens(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_letters(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            ids = np.asarray(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(at) != len(some) + 1:  # a letter that lower case or composition turns into something else
-                for w in some:
-                    self[w] = self._one(w.decode())
-                continue
-            raw = ids.tobytes()
-            for w, x, y in zip(some, at[:-1], at[1:], strict=True):
-                self[w] = raw[x:y]
+        lots = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for k in range(0, len(lots), 64):
+            some = lots[k : k + 64]
+            for lot, e in zip(some, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in some], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, "<u4")
+                at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+                if len(at) != len(lot) + 1:  # a letter that lower case or composition turns into something else
+                    self.update((w, self._one(w.decode())) for w in lot)
+                    continue
+                raw = ids.tobytes()
+                self.update((w, raw[x:y]) for w, x, y in zip(lot, at[:-1], at[1:], strict=True))
 
 
 def _lowered(text: bytes) -> bytes:
