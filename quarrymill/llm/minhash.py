@@ -10,9 +10,11 @@
    as members, not their square.
 4. Candidates are confirmed on their full sets, read from the whole texts, and links give components.
 5. A star may miss a link between two members that are not the centre. Buckets whose members are still in different
-   components stay open. A node with so many shingles that no other open node has that no intersection can be large
-   enough has no link, and leaves (again and again, as others leave). The rest is opened with twice as many centres each time, without
-   those that were centres, until every pair of a bucket is compared, ruled out or in one component. Nothing is capped.
+   components stay open. Pairs of open nodes that share a rare shingle (one of RARE open nodes at most) are found by
+   these shingles and compared where sizes and counts allow a link. In all other pairs rare shingles count for
+   nothing, which bounds intersections and rules most of them out. The rest is opened with twice as many centres each
+   time, without those that were centres, until every pair of a bucket is compared, ruled out or in one component.
+   Nothing is capped.
 
 Cases: null, empty or blank texts have the empty set and are linked with nothing; fewer words than a shingle make one
 shingle; texts are read whole; rows that repeat are equal sets; rows that share a doc_id count as one document; an
@@ -36,6 +38,8 @@ from quarrymill.llm.components import components
 SHINGLE, SIMILARITY = 5, 85
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+#: A shingle of this many open nodes, or fewer, is rare.
+RARE = 24
 _ATTEMPTS = 1024
 
 
@@ -168,36 +172,59 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     tried = scratch.table(ordered(shared.select(F.col("centre").alias("x"), F.col("node").alias("y"))))
     links = linked(tried)
     labels = scratch.table(components(links, scratch))
-    waiting, centres, pruned = shared.where("node <> centre").select("key", "node", "n"), 1, False
+
+    def compare(pairs: DataFrame) -> None:
+        """Confirms pairs that were not compared yet, and takes their links in."""
+        nonlocal tried, links, labels
+        fresh = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = scratch.table(tried.union(fresh))
+        found = linked(fresh)
+        if not found.isEmpty():
+            links = scratch.table(links.union(found))
+            labels = scratch.table(components(links, scratch))
+
+    waiting, centres, sifted = shared.where("node <> centre").select("key", "node", "n", F.col("n").alias("m")), 1, False
+
+    def narrowed(rows: DataFrame) -> DataFrame:
+        """Of the buckets with more than one component the members that may have a link in it: m, of which no
+        intersection is larger, against the smallest size and the largest m there."""
+        of = rows.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("n").alias("_n"), F.max("m").alias("_m")).where("_a < _b")
+        enough = (100 + similarity) * F.least("m", "_m") >= similarity * (F.col("n") + F.col("_n"))
+        return rows.join(of, "key").where(enough).select("key", "node", "n", "m", "label")
+
     while True:
-        seen = waiting.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        open_keys = seen.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key")
-        seen = scratch.table(seen.join(open_keys, "key"))
+        seen = waiting.join(labels, "node", "left").select("key", "node", "n", "m", F.coalesce("label", "node").alias("label"))
+        seen = scratch.table(narrowed(narrowed(scratch.table(narrowed(seen)))))
         if seen.isEmpty():
             break
-        if not pruned:
-            # a shingle that no other waiting node has is in no intersection: nodes with too many of them have no link
-            rows = shingle_rows(whole.join(seen.select("node").distinct(), "node"))
-            lonely = rows.groupBy("g").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("node")).where("_c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("_u"))
-            dead = scratch.table(seen.select("node", "n").distinct().join(lonely, "node").where(100 * (F.col("n") - F.col("_u")) < similarity * F.col("n")).select("node"))
-            pruned = dead.isEmpty()
-            waiting = seen.join(dead, "node", "left_anti").select("key", "node", "n")
+        if not sifted:
+            # rare: shingles of at most RARE open nodes. Who has so many that the rest is too little for a link can be
+            # linked only with a node that shares some of them; such pairs are few, and are found by those shingles
+            sizes = seen.select("node", "n", "label").distinct()
+            rows = scratch.table(shingle_rows(whole.join(sizes.select("node"), "node")))
+            rare = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") <= RARE), "g")
+            held = scratch.table(sizes.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "node", "left").fillna(0, ["r"]))
+            some = rare.where("_c > 1").select("g", "node")
+            met = some.select("g", F.col("node").alias("a")).join(some.select("g", F.col("node").alias("b")), "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+            for x in ("a", "b"):
+                met = met.join(held.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"), (F.col("n") - F.col("r")).alias(f"m_{x}")), x)
+            most = F.least("m_a", "m_b") + F.col("s")
+            pairs = met.where((F.col("l_a") != F.col("l_b")) & ((100 + similarity) * most >= similarity * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+            compare(pairs)
+            # pairs with a rare shingle in common are done: in any other, a node's rare shingles count for nothing
+            waiting = scratch.table(seen.drop("m").join(held.select("node", (F.col("n") - F.col("r")).alias("m")), "node").select("key", "node", "n", "m"))
+            scratch.drop(rows)
+            sifted = True
             continue
         centres *= 2
         # an order of the bucket's own, so that a node has different centres in different buckets
         place = F.row_number().over(W.partitionBy("key").orderBy(F.col("node").bitwiseXOR(F.col("key"))))
         middle = scratch.table(seen.withColumn("_p", place).where(F.col("_p") <= centres).drop("_p"))
-        others = seen.select("key", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("label").alias("_other"))
-        fits = (100 * F.col("n") >= similarity * F.col("_n")) & (100 * F.col("_n") >= similarity * F.col("n"))
+        others = seen.select("key", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("label").alias("_other"))
+        fits = (100 + similarity) * F.least("m", "_m") >= similarity * (F.col("n") + F.col("_n"))
         pairs = middle.join(others, "key").where((F.col("label") != F.col("_other")) & fits).select(F.col("node").alias("x"), "y")
-        fresh = scratch.table(ordered(pairs).join(tried, ["a", "b"], "left_anti"))
-        tried = scratch.table(tried.union(fresh))
-        found = linked(fresh)
-        if not found.isEmpty():
-            links = scratch.table(links.union(found))
-            labels = scratch.table(components(links, scratch))
-        waiting = seen.join(middle.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n")
-        pruned = False
+        compare(ordered(pairs))
+        waiting = seen.join(middle.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "m")
     names = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
     component = F.coalesce("label", "doc_id")
