@@ -34,26 +34,22 @@ LETTERS = "etaonishrdlucmpgb.,é"
 BROADCAST_ROWS = 500_000
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Place (from 1) and length of segment i of a line of this length."""
-    short = F.floor(length / (tau + 1)).cast("int")
-    longer = length - short * (tau + 1)  # so many of the last segments have one character more
-    before = F.greatest(F.lit(0), longer - (tau + 1 - i))
-    return (short * i + before + 1).cast("int"), (short + (longer > tau - i).cast("int")).cast("int")
+def segment_keys(wide: Column, lengths: dict[int, tuple[Column, Column, Column]], tau: int = TAU) -> Column:
+    """array<long>: first the tau + 1 keys of the index, then those that only probe; null where there is no room.
 
-
-def segment_keys(line: Column, n: Column, tau: int = TAU) -> Column:
-    """array<long>: first the tau + 1 keys of the index, then those that only probe; null where there is no room."""
+    wide: the line in four bytes a character, so that a substring is found without counting characters. lengths: by how
+    much shorter, a length, its even share of the segments, and how many of the last segments are one longer."""
     index, probe = [], []
-    for shorter in range(tau + 1):
-        length = n - shorter
+    n = lengths[0][0]
+    for shorter, (length, share, longer) in lengths.items():
         for i in range(tau + 1):
-            at, size = _segment(length, i, tau)
+            at = share * i + F.greatest(F.lit(0), longer - (tau + 1 - i)) + 1
+            size = share + (longer > tau - i).cast("int")
             # off by at most i on the left side's account, and by what is left on the right side's
             low, high = max(-i, shorter - (tau - i)), min(i, shorter + (tau - i))
             for off in range(low, high + 1):
                 p = at + off
-                key = F.when((p >= 1) & (p + size - 1 <= n) & (size > 0), F.xxhash64(F.lit(i), length, F.substr(line, p, size)))
+                key = F.when((p >= 1) & (p + size - 1 <= n) & (size > 0), F.xxhash64(F.lit(i), length, F.substr(wide, 4 * p - 3, 4 * size)))
                 (index if shorter == 0 and off == 0 else probe).append(key)
     return F.array(*index, *probe)
 
@@ -104,7 +100,12 @@ def _named(rows: DataFrame) -> DataFrame:
 def linked_lines(distinct: DataFrame, scratch: Scratch, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, line) of different lines -> a, b (ids, a < b): those within tau edits of each other."""
     some = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, tau + 1))
-    keys = some.select("id", F.posexplode(segment_keys(F.col("line"), F.col("n"), tau)).alias("_k", "key")).where("key IS NOT NULL")
+    # columns of their own below the explode: each is computed once for a line
+    parts = {f"_l{d}": (F.col("n") - d) for d in range(tau + 1)}
+    parts |= {f"_s{d}": F.floor((F.col("n") - d) / (tau + 1)).cast("int") for d in range(tau + 1)} | {f"_r{d}": F.pmod(F.col("n") - d, F.lit(tau + 1)) for d in range(tau + 1)}
+    wide = some.select("id", "n", F.encode("line", "UTF-32").alias("_w")).withColumns(parts)
+    lengths = {d: (F.col(f"_l{d}"), F.col(f"_s{d}"), F.col(f"_r{d}")) for d in range(tau + 1)}
+    keys = wide.select("id", F.posexplode(segment_keys(F.col("_w"), lengths, tau)).alias("_k", "key")).where("key IS NOT NULL")
     keys = keys.select("key", "id", (F.col("_k") <= tau).alias("index"))
     crowded = keys.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1").drop("_n")
     crowded = scratch.table(crowded)
