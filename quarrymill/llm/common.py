@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +100,24 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """A Python worker's table of what it has seen, for its later tasks too: one operator's at a time, so that workers
+    that serve one operator after another don't hold the tables of all."""
+    if name not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library: it gives memory back in its own time
+                pass
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordHash(dict):
     """64-bit hash of each word, kept for words seen lately; its size is bounded."""
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, WordHash, chunks, grams, mix, split_all, texts
+from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, mix, split_all, texts
 from quarrymill.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 85
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, set_id, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, scheme = WordHash(), OnePermutation()
+        hashes, scheme = kept("words", WordHash), OnePermutation()
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(texts(part), hashes)
@@ -106,20 +106,20 @@ def confirm(pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b, text_a, text_b) -> a, b of those whose full sets are similar enough: 100 common >= similarity * all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        kept: dict[bytes, np.ndarray] = {}
+        hashes = kept("words", WordHash)
+        sets: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 one, two = texts(part, "text_a"), texts(part, "text_b")
-                new = [t for t in {*one, *two} if t not in kept]
-                if sum(map(len, kept)) + sum(map(len, new)) > 16 << 20:
-                    kept.clear()
+                new = [t for t in {*one, *two} if t not in sets]
+                if sum(map(len, sets)) + sum(map(len, new)) > 16 << 20:
+                    sets.clear()
                     new = list({*one, *two})
-                kept.update(zip(new, shingle_sets(new, hashes), strict=True))
+                sets.update(zip(new, shingle_sets(new, hashes), strict=True))
                 good = []
                 for x, y in zip(one, two, strict=True):
-                    s, t = kept[x], kept[y]
+                    s, t = sets[x], sets[y]
                     common = 0
                     if len(s) and len(t) and 100 * min(len(s), len(t)) >= similarity * max(len(s), len(t)):
                         common = len(np.intersect1d(s, t, assume_unique=True))
@@ -133,7 +133,7 @@ def shingle_rows(texts_of: DataFrame) -> DataFrame:
     """(node, text) -> node, g: a row for each distinct shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = kept("words", WordHash)
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(texts(part), hashes)

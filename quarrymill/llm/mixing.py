@@ -5,7 +5,7 @@ their target as votes; each source's blocks go to its shards in the same way, wi
 shard, documents stand in a seeded order and form one stream of words, which is cut into blocks; of them as many as
 the shard's quota are selected, evenly from a seeded start, each at most max_repeats times.
 
-Everything is a DataFrame plan: one pass over the texts for their sizes, one shuffle of (doc_id, source, size) by
+The mix is a DataFrame plan (only cutting the texts, for mix_texts, is Python): one pass over the texts for their sizes, one shuffle of (doc_id, source, size) by
 shard. A source has as many shards as its size asks for, 4,096 at most, so a source with a third of all rows is
 spread over many tasks; all that meets in one task are rows of sources and of one source's shards.
 
@@ -16,11 +16,14 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, n_words
+from quarrymill.llm.common import Scratch, chunks, n_words, texts
 
 #: Words of a block; smaller where the smallest source would have fewer than 64 of them.
 BLOCK = 64
@@ -121,21 +124,30 @@ def mix_texts(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, block:
     block selected twice standing twice. Words are joined by one space; a text that is taken whole, once, is as it
     was. The columns are those of docs."""
     rows = _mixed(docs, docs.columns, share, max_repeats, block, seed, weights).where("taken > 0")
-    first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
-    words = F.filter(F.split("_row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = rows.withColumn("_w", words).withColumn("_blocks", F.sequence(first.cast("long"), last.cast("long")))
-
-    def stretch(b: Column) -> Column:
-        times = F.floor(F.col("quota") / F.col("shard_blocks")).cast("long") + _picked(b + 1) - _picked(b)
-        at = F.greatest(F.lit(0), b * F.col("block") - F.col("start"))
-        end = F.least(F.col("size"), (b + 1) * F.col("block") - F.col("start"))
-        piece = F.slice(F.col("_w"), (at + 1).cast("int"), (end - at).cast("int"))
-        return F.flatten(F.array_repeat(piece, times.cast("int")))
-
-    cut = F.concat_ws(" ", F.flatten(F.transform("_blocks", stretch)))
+    rows = rows.select("_row", "start", "size", "taken", "quota", "shard_blocks", "shift", "block")
     whole = (F.col("taken") == F.col("size")) & (F.col("quota") == F.col("shard_blocks"))
-    text = F.when(whole, F.col("_row.text")).otherwise(cut)
-    return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = rows.select(F.col("_row"), whole.alias("_whole"), F.col("_row.text").alias("text"), "start", "size", "quota", "shard_blocks", "shift", "block")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                out = []
+                plan = [part.column(c).to_pylist() for c in ("_whole", "start", "size", "quota", "shard_blocks", "shift", "block")]
+                for text, whole, start, size, quota, n, shift, block in zip(texts(part), *plan, strict=True):
+                    if whole:
+                        out.append(text)
+                        continue
+                    words, pieces = text.split(), []
+                    rounds, extra = divmod(quota, n)
+                    for b in range(start // block, (start + size - 1) // block + 1):
+                        times = rounds + ((b + 1) * extra + shift) // n - (b * extra + shift) // n
+                        pieces += words[max(0, b * block - start) : (b + 1) * block - start] * times
+                    out.append(b" ".join(pieces))
+                row = part.column("_row")
+                fields = [pa.array(out, pa.binary()).cast(pa.string()) if f.name == "text" else row.field(i) for i, f in enumerate(row.type)]
+                yield pa.RecordBatch.from_arrays(fields, names=[f.name for f in row.type])
+
+    return rows.mapInArrow(cut, docs.schema)
 
 
 def _picked(blocks: Column) -> Column:

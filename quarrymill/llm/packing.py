@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, chunks, texts
+from quarrymill.llm.common import Scratch, chunks, kept, texts
 
 CAPACITY = 2048
 ROUNDS = 300
@@ -37,12 +36,6 @@ ROUNDS = 300
 BUCKET_ROWS = 1000
 
 
-@lru_cache(maxsize=1)
-def _known(path: str) -> WordTokens:
-    """One table for each Python worker: later tasks use what earlier ones learnt."""
-    return WordTokens(path)
-
-
 class WordTokens(dict):
     """Token ids of a word as little-endian unsigned 32-bit numbers, by a tokenizer that drops white space, lowers
     case and marks word ends; kept for words seen lately, in a bounded table.
@@ -119,7 +112,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(tokenizer_path)
+        known = kept(f"pieces of {tokenizer_path}", lambda: WordTokens(tokenizer_path))
         for batch in batches:
             for part in chunks(batch):
                 rows, piece, start, length, crc = [], [], [], [], []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, chunks, texts
+from quarrymill.llm.common import Scratch, chunks, kept, texts
 
 SAMPLE_ROWS = 20_000
 BUCKETS, DIMENSIONS, HIDDEN = 8192, 64, 32
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     index = index_vectors()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Features(), np.zeros_like(index)
+        known, total = kept("features", Features), np.zeros_like(index)
         for batch in batches:
             for part in chunks(batch, _PART):
                 total += context_sums(texts(part), known, index)
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     vectors = index + np.where(norm > 0, sums / np.maximum(norm, 1e-9), 0).astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+        known = kept("features", Features)
         for batch in batches:
             for part in chunks(batch, _PART):
                 x = pooled(texts(part), known, vectors)
@@ -209,7 +209,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: Network) -> DataFrame:
     """(doc_id, text) -> doc_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+        known = kept("features", Features)
         for batch in batches:
             for part in chunks(batch, _PART):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(pooled(texts(part), known, vectors)))], names=["doc_id", "score"])
@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, vectors: np.ndarray, model: Network, threshold: f
     """The documents, all columns, whose score reaches the threshold. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+        known = kept("features", Features)
         for batch in batches:
             for part in chunks(batch, _PART):
                 good = model.score(pooled(texts(part), known, vectors)) >= threshold

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import WordHash, chunks, grams, mix, split_all, texts
+from quarrymill.llm.common import WordHash, chunks, grams, kept, mix, split_all, texts
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -93,7 +93,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id and MEASURES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = kept("words", WordHash)
         for batch in batches:
             for part in chunks(batch):
                 got = measure_batch(texts(part), hashes)

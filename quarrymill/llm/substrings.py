@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, WordHash, chunks, grams, sha256_hex, split_all, texts
+from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, sha256_hex, split_all, texts
 from quarrymill.llm.fm_index import FMIndex
 
 WIDTH, GRAM, SAMPLE, RUN = 50, 8, 16, 64
@@ -97,7 +97,7 @@ def kept_grams(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text) -> gram, doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = kept("words", WordHash)
         for batch in batches:
             for part in chunks(batch):
                 ids = np.asarray(part.column("doc_id"), np.int64)
@@ -112,7 +112,7 @@ def candidate_segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text, grams, hot) -> anchor, content_id, content, n_words, doc_id, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = kept("words", WordHash)
         for batch in batches:
             for part in chunks(batch):
                 windows = Windows(texts(part), hashes, width)
@@ -146,7 +146,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def shard_answers(segments: pa.Table, width: int = WIDTH) -> pa.Table:
     """(content_id, content, least) of one shard -> content_id, runs: stretches of windows [low, high) with the least
     doc_id that holds them."""
-    hashes = WordHash()
+    hashes = kept("words", WordHash)
     words, bounds = split_all(segments.column("content").to_pylist())
     symbols = hashes.of(words)
     index = FMIndex(symbols, bounds, np.asarray(segments.column("least"), np.int64), width)
@@ -166,12 +166,12 @@ def copied_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = scratch.table(kept_grams(docs, width))
-    shared = kept.groupBy("gram").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b")
+    held = scratch.table(kept_grams(docs, width))
+    shared = held.groupBy("gram").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b")
     shared = shared.select("gram", (F.col("_n") > HOT).alias("hot"))
-    mine = kept.join(shared, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
+    mine = held.join(shared, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     segments = scratch.table(candidate_segments(docs.join(mine, "doc_id"), width))
-    scratch.drop(kept)
+    scratch.drop(held)
     total = segments.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD_WORDS))
     distinct = segments.groupBy("anchor", "content_id", "content").agg(F.min("doc_id").alias("least"))
