@@ -12,7 +12,7 @@
 5. A star may miss a link between two members that are not the centre. Buckets whose members are still in different
    components stay open. Pairs of open nodes that share a rare shingle (one of RARE open nodes at most) are found by
    these shingles and compared where sizes and counts allow a link. In all other pairs rare shingles count for
-   nothing, which bounds intersections and rules most of them out. The rest is opened with twice as many centres each
+   nothing, which bounds intersections and rules most of them out. The rest is opened with eight times as many centres each
    time, without those that were centres, until every pair of a bucket is compared, ruled out or in one component.
    Nothing is capped.
 
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     while True:
         seen = waiting.join(labels, "node", "left").select("key", "node", "n", "m", F.coalesce("label", "node").alias("label"))
-        seen = scratch.table(narrowed(narrowed(scratch.table(narrowed(seen)))))
+        seen = scratch.table(narrowed(seen))
         if seen.isEmpty():
             break
         if not sifted:
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             scratch.drop(rows)
             sifted = True
             continue
-        centres *= 2
+        centres *= 8
         # an order of the bucket's own, so that a node has different centres in different buckets
         place = F.row_number().over(W.partitionBy("key").orderBy(F.col("node").bitwiseXOR(F.col("key"))))
         middle = scratch.table(seen.withColumn("_p", place).where(F.col("_p") <= centres).drop("_p"))
