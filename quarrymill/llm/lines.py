@@ -14,7 +14,7 @@ occurrence, by (doc_id, line number), stays.
 Lines shorter than MIN_CHARS are the same only if equal: two edits would turn them into another line. Lines without a
 word take no part and stay.
 
-Cases: null and empty texts have no lines; texts and lines of any length are compared whole; repeated rows are copies
+Cases: null and empty texts have no lines, and rows without doc_id take no part; texts and lines of any length are compared whole; repeated rows are copies
 of each other's lines, and the first stays; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -88,7 +88,7 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, line_no, line: the lines that hold a word."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -171,10 +171,11 @@ def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_C
     found, named = line_classes(docs, tau, min_chars)
     repeated = found.join(named, ["h1", "h2"]).where("NOT (class_doc = doc_id AND class_line = line_no)")
     gone = repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    lines = F.split("text", "\n")
+    # the documents' own columns stand in a struct meanwhile: none of their names can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*docs.columns).alias("_row")).join(gone, F.col("_doc") == F.col("_id"), "left")
+    lines = F.split("_row.text", "\n")
     stay = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
     with_word = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     cut = F.col("_gone").isNotNull() & (F.size("_gone") <= whole_share * with_word)
-    text = F.when(cut, F.concat_ws("\n", stay)).otherwise(F.col("text"))
-    rows = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left")
-    return rows.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(cut, F.concat_ws("\n", stay)).otherwise(F.col("_row.text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

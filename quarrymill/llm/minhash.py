@@ -17,7 +17,8 @@
    Nothing is capped.
 
 Cases: null, empty or blank texts have the empty set and are linked with nothing; fewer words than a shingle make one
-shingle; texts are read whole; rows that repeat are equal sets; rows that share a doc_id count as one document; an
+shingle; texts are read whole; rows that repeat are equal sets; rows that share a doc_id count as one document; rows without
+doc_id are linked with nothing and kept; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     ids = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(signatures(docs))
-    nodes = scratch.table(signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("node")))
+    nodes = scratch.table(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node")))
     first = signed.join(nodes, (signed["set_id"] == nodes["set_id"]) & (signed["doc_id"] == nodes["node"])).select("node", F.col("n_shingles").alias("n"), "bands")
     banded = first.select("node", "n", F.explode("bands").alias("key"))
     crowds = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_b")).where("centre < _b").select("key", "centre")
@@ -227,9 +228,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         waiting = seen.join(middle.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "m")
     names = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
-    component = F.coalesce("label", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     scratch.drop(whole)
-    return rows.select(F.col("doc_id").cast(ids).alias("doc_id"), "n_shingles", component.cast(ids).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return rows.select(F.col("doc_id").cast(ids).alias("doc_id"), "n_shingles", component.cast(ids).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

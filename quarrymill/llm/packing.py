@@ -7,7 +7,8 @@ size: it is all that the driver gets. There,
   an unbounded knapsack (dynamic programming over the capacity) finds the sequence pattern of most worth to them;
 * patterns are taken as often as the rounded-down solution says, never past what is left of any length;
 * what is left is packed by best fit: a pattern starts with the longest length left, takes at each step the longest
-  that still fits, and is used as often as the counts allow.
+  that still fits (or, if that misses the least number there can be, the set that fills it most), and is used as
+  often as the counts allow.
 
 The outcome is a list of patterns with multiplicities, of bounded size. A piece's place follows from its rank among the pieces of its length:
 ranks are given without one task seeing all pieces of a length (a third may share one), by counts of (length, bucket).
@@ -20,7 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,31 @@ def _best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.nd
     return counts, int((left[used] // counts[used]).min())
 
 
+def _fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """A pattern with the longest length left and those others that fill the sequence most, larger ones before smaller,
+    and how often it can be used. The sums that can be reached are the bits of one number."""
+    counts = np.zeros(len(sizes), np.int64)
+    first = int(np.flatnonzero(left)[-1])
+    counts[first] = 1
+    room = capacity - int(sizes[first])
+    mask, reach, steps = (1 << (room + 1)) - 1, 1, []
+    for k in range(first, -1, -1):
+        size, n = int(sizes[k]), int(left[k] - counts[k])
+        n, m = min(n, room // size), 1
+        while n > 0:
+            m = min(m, n)
+            steps.append((k, m, reach))
+            reach |= reach << (size * m) & mask
+            n, m = n - m, 2 * m
+    fill = reach.bit_length() - 1
+    for k, m, before in reversed(steps):
+        if not before >> fill & 1:
+            counts[k] += m
+            fill -= m * int(sizes[k])
+    used = counts > 0
+    return counts, int((left[used] // counts[used]).min())
+
+
 def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns (counts by size) and how many sequences each makes, that hold every piece exactly once."""
     order = np.argsort(sizes)
@@ -200,7 +226,7 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACIT
     if not len(sizes):
         return []
 
-    def rounded(configurations: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int]]:
+    def rounded(configurations: list[tuple[np.ndarray, float]], rest: Callable) -> list[tuple[np.ndarray, int]]:
         left, out = demand.copy(), []
         waste = lambda c: capacity - int((c * sizes).sum())
         for counts, amount in sorted(configurations, key=lambda x: (waste(x[0]), -x[1])):
@@ -210,14 +236,24 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACIT
                 left -= n * counts
                 out.append((counts, n))
         while left.any():
-            counts, n = _best_fit(sizes, left, capacity)
+            counts, n = rest(sizes, left, capacity)
             left -= n * counts
             out.append((counts, n))
         back = np.argsort(order)
         return [(c[back], n) for c, n in out]
 
     total = lambda plan: sum(n for _, n in plan)
-    return min([rounded(solve_configurations(sizes, demand, capacity, rounds)), rounded([])], key=total)
+    least = -(-int((sizes * demand).sum()) // capacity)
+    solved, best = solve_configurations(sizes, demand, capacity, rounds), None
+    # the LP's patterns with the rest by best fit; where that isn't the least there can be, the rest by fullest
+    # sequences, and either rule without the LP
+    for configurations, rest in ((solved, _best_fit), (solved, _fullest), ([], _fullest), ([], _best_fit)):
+        plan = rounded(configurations, rest)
+        if best is None or total(plan) < total(best):
+            best = plan
+        if total(best) == least:
+            break
+    return best
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:

@@ -44,7 +44,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     vectors, model = quality.fit(docs, _read(spark, sf_dir, "labels"))
     scored = quality.score(docs, vectors, model)
-    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    held_out = F.coalesce(quality.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

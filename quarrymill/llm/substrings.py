@@ -18,7 +18,7 @@ An anchor in more than HOT documents would make one shard large; its windows are
 Shards hold about SHARD_WORDS words, so their number grows with the input and their size does not.
 
 Cases: null, empty and short texts have no window and lose nothing; a window twice in one document is no copy; texts
-are read whole; rows that repeat a doc_id are expected to repeat its text (each loses the same words); an empty table gives an empty
+are read whole; rows without doc_id are before and after nothing and lose nothing; rows that repeat a doc_id are expected to repeat its text (each loses the same words); an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -165,7 +165,7 @@ def copied_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     hold, for the documents that have any."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = scratch.table(kept_grams(docs, width))
     shared = held.groupBy("gram").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b")
     shared = shared.select("gram", (F.col("_n") > HOT).alias("hot"))
