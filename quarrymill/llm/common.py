@@ -100,6 +100,27 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it gives memory back in its own time
+        return
+
+
+def trimmed(run: Callable) -> Callable:
+    """For mapInArrow: a worker that waits for its next task holds no more than its table."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 _kept: dict[str, Any] = {}
 
 
@@ -110,10 +131,7 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
         if _kept:
             _kept.clear()
             gc.collect()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except OSError:  # another C library: it gives memory back in its own time
-                pass
+            trim()
         _kept[name] = make()
     return _kept[name]
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, mix, split_all, texts
+from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, mix, split_all, texts, trimmed
 from quarrymill.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 85
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = [scheme.keys(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -127,7 +127,7 @@ def confirm(pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                     good.append(common > 0 and 100 * common >= similarity * (len(s) + len(t) - common))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(trimmed(run), "a long, b long")
 
 
 def shingle_rows(texts_of: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def shingle_rows(texts_of: DataFrame) -> DataFrame:
                 for i in range(0, len(g), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(g[i : i + 100_000])], names=["node", "g"])
 
-    return texts_of.mapInArrow(run, "node long, g long")
+    return texts_of.mapInArrow(trimmed(run), "node long, g long")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, chunks, n_words, texts
+from quarrymill.llm.common import Scratch, chunks, n_words, texts, trimmed
 
 #: Words of a block; smaller where the smallest source would have fewer than 64 of them.
 BLOCK = 64
@@ -147,7 +147,7 @@ def mix_texts(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, block:
                 fields = [pa.array(out, pa.binary()).cast(pa.string()) if f.name == "text" else row.field(i) for i, f in enumerate(row.type)]
                 yield pa.RecordBatch.from_arrays(fields, names=[f.name for f in row.type])
 
-    return rows.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(trimmed(cut), docs.schema)
 
 
 def _picked(blocks: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, chunks, kept, texts
+from quarrymill.llm.common import Scratch, chunks, kept, texts, trimmed
 
 CAPACITY = 2048
 ROUNDS = 300
@@ -46,7 +46,7 @@ class WordTokens(dict):
 
     SIGNS = ".,;:!?$%&*#|"
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.runs = Tokenizer.from_file(path), limit, {}
@@ -132,7 +132,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                 yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:

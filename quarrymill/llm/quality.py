@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, chunks, kept, texts
+from quarrymill.llm.common import Scratch, chunks, kept, texts, trimmed
 
 SAMPLE_ROWS = 20_000
 BUCKETS, DIMENSIONS, HIDDEN = 8192, 64, 32
 THRESHOLD = 0.3
-_PART = 1 << 20  # bytes of text pooled at a time: a matrix of documents by buckets stands in memory meanwhile
+_PART = 1 << 20  # bytes of text read at a time
+_DOCS = 128  # documents pooled at a time: a matrix of documents by buckets stands in memory meanwhile
 _RUNS = re.compile(rb"([A-Z]+)|([a-z\x80-\xff]+)|([0-9]+)|([^A-Za-z0-9\x80-\xff]+)")
 _TASKS = 8
 
@@ -48,7 +49,7 @@ def index_vectors(buckets: int = BUCKETS, dimensions: int = DIMENSIONS, seed: in
 class Features(dict):
     """The three buckets of a word, for words seen lately."""
 
-    def __init__(self, buckets: int = BUCKETS, limit: int = 300_000):
+    def __init__(self, buckets: int = BUCKETS, limit: int = 200_000):
         self.buckets, self.limit = buckets, limit
 
     def __missing__(self, word: bytes) -> int:
@@ -99,6 +100,8 @@ def context_sums(docs: list[bytes], known: Features, index: np.ndarray) -> np.nd
 def pooled(docs: list[bytes], known: Features, vectors: np.ndarray) -> np.ndarray:
     """The mean vector of each document's words (drawn to zero for a few words), the share of words that repeat the
     one before, and the log of the number of words."""
+    if len(docs) > _DOCS:
+        return np.concatenate([pooled(docs[i : i + _DOCS], known, vectors) for i in range(0, len(docs), _DOCS)])
     b, of, again = _flat(docs, known)
     n, k = len(docs), len(vectors)
     keys = np.concatenate([(of * k + x) for x in b] + [of[again] * k + k - 1])
@@ -186,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
                 total += context_sums(texts(part), known, index)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    sums = sum((np.frombuffer(r["sums"], np.float32).reshape(index.shape) for r in sample.mapInArrow(contexts, "sums binary").collect()), np.zeros_like(index))
+    sums = sum((np.frombuffer(r["sums"], np.float32).reshape(index.shape) for r in sample.mapInArrow(trimmed(contexts), "sums binary").collect()), np.zeros_like(index))
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     vectors = index + np.where(norm > 0, sums / np.maximum(norm, 1e-9), 0).astype(np.float32)
 
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
                 x = pooled(texts(part), known, vectors)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("_label")], names=["x", "y"])
 
-    rows = sample.mapInArrow(features, "x binary, y int").collect()  # sample_rows at most, 264 bytes each
+    rows = sample.mapInArrow(trimmed(features), "x binary, y int").collect()  # sample_rows at most, 264 bytes each
     rows.sort(key=lambda r: bytes(r["x"]))  # the fit does not depend on the order in which tasks end
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), DIMENSIONS + 2)
     model = Network().fit(x, np.array([r["y"] for r in rows], np.int64))
@@ -215,7 +218,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(pooled(texts(part), known, vectors)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, vectors: np.ndarray, model: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,4 +231,4 @@ def keep_good(docs: DataFrame, vectors: np.ndarray, model: Network, threshold: f
                 good = model.score(pooled(texts(part), known, vectors)) >= threshold
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import WordHash, chunks, grams, kept, mix, split_all, texts
+from quarrymill.llm.common import WordHash, chunks, grams, kept, mix, split_all, texts, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -100,7 +100,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, got)], names=["doc_id", *[x.split()[0] for x in MEASURES.split(", ")]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, {MEASURES}")
 
 
 def mask(policy: str | tuple[str, ...], rules: dict[str, str] = RULES) -> int:

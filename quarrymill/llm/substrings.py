@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, sha256_hex, split_all, texts
+from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, sha256_hex, split_all, texts, trimmed
 from quarrymill.llm.fm_index import FMIndex
 
 WIDTH, GRAM, SAMPLE, RUN = 50, 8, 16, 64
@@ -105,7 +105,7 @@ def kept_grams(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for i in range(0, len(g), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(g[i : i + 100_000].view(np.int64)), pa.array(ids[doc[i : i + 100_000]])], names=["gram", "doc_id"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long")
+    return docs.mapInArrow(trimmed(run), "gram long, doc_id long")
 
 
 def candidate_segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -135,7 +135,7 @@ def candidate_segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return docs.mapInArrow(run, "anchor long, content_id binary, content binary, n_words int, doc_id long, start int")
+    return docs.mapInArrow(trimmed(run), "anchor long, content_id binary, content binary, n_words int, doc_id long, start int")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -215,4 +215,4 @@ def remove_copied(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
