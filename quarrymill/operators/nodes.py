@@ -114,10 +114,21 @@ def parse(files: DataFrame) -> DataFrame:
     """(file_id, content) -> nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for file_id, content in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = tree_rows(file_id, content)
-                for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist(rows[i : i + 10_000], SCHEMA)
+                rows += tree_rows(file_id, content)
+                if len(rows) >= 5000:
+                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
     return files.select("file_id", "content").mapInArrow(run, DDL)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt by id over as many tasks as the cluster runs at a time, or more: few large input splits would parse in few tasks."""
+    spark = files.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(n, "file_id")

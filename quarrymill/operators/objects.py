@@ -18,8 +18,9 @@ def longest_paths(edges: DataFrame, starts: DataFrame, keys: list[str], max_dept
     Paths grow by one edge each round, in one recursive query; a path doesn't visit a node twice, and none is longer
     than max_depth. On graphs without cycles this is the longest path."""
     spark = edges.sparkSession
-    edges.select(*keys, "src", "dst").distinct().createOrReplaceTempView("_lp_edges")
-    starts.select(*keys, "node").distinct().createOrReplaceTempView("_lp_starts")
+    # each round reads the edges again: they are made once
+    edges.select(*keys, "src", "dst").distinct().persist().createOrReplaceTempView("_lp_edges")
+    starts.select(*keys, "node").distinct().persist().createOrReplaceTempView("_lp_starts")
     k = "".join(f"{c}, " for c in keys)
     on = " AND ".join([f"e.{c} = p.{c}" for c in keys] + ["e.src = p.at"])
     pk = "".join(f"p.{c}, " for c in keys)

@@ -19,10 +19,10 @@ ROUNDED = {"comment_percentage": 1, "average_cyclomatic_complexity": 2, "nesting
 def analyze(files: DataFrame, commits: DataFrame | None = None, changes: DataFrame | None = None, mode: str = "parity", rounded: bool = True) -> DataFrame:
     """(file_id, repo, path, content, status) -> the summary, 65 columns and file_id.
 
-    Files are parsed once; their nodes are dealt by file_id and kept while the metrics are joined. A file that can't be
+    Files are dealt by file_id and parsed once; their nodes are kept while the metrics are joined. A file that can't be
     decoded or parsed has no row. strict gives class line figures, which parity leaves at 0."""
     good = files.where("status = 'ok'") if "status" in files.columns else files
-    tree = nodes.parse(good).repartition("file_id").persist(StorageLevel.MEMORY_AND_DISK)
+    tree = nodes.parse(nodes.spread(good)).persist(StorageLevel.MEMORY_AND_DISK)
     structure = astmetrics.file_structure(tree).where("NOT failed")
     functions = astmetrics.function_metrics(tree)
     ranged = good.join(structure.select("file_id", "doc_ranges"), "file_id")

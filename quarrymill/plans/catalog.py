@@ -142,9 +142,9 @@ def halstead_like(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Files and their nodes: parsed once, dealt by file, kept while a query's parts are joined."""
+    """Files and their nodes: dealt by file, parsed once, kept while a query's parts are joined."""
     files = template_files(_t(spark, d, "part"))
-    return files, nodes.parse(files).repartition("file_id").persist()
+    return files, nodes.parse(nodes.spread(files)).persist()
 
 
 def _tpl(select: str) -> str:
