@@ -54,14 +54,14 @@ def inheritance_depth(classes: DataFrame) -> DataFrame:
 
 def oo_metrics(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """One row for each top-level class: methods, public_methods, wmc, lcom, rfc, tna, cbo, dit."""
-    classes = top_classes(nodes)
+    classes = top_classes(nodes).persist()  # classes and methods are read by every figure below
     key = ["file_id", "cls"]
-    methods = functions.where("is_method").select("file_id", F.col("parent").alias("cls"), "fn", "name", "cyclomatic_complexity", "calls_made").join(classes.select(*key, "class_name"), key)
+    methods = functions.where("is_method").select("file_id", F.col("parent").alias("cls"), "fn", "name", "cyclomatic_complexity", "calls_made").join(classes.select(*key, "class_name"), key).persist()
     counts = methods.groupBy(*key).agg(F.count(F.lit(1)).alias("methods"), F.count_if(~F.col("name").startswith("_")).alias("public_methods"), F.sum("cyclomatic_complexity").alias("wmc"))
     # what a method reads of self; a name's last definition speaks for all of that name
     own = nodes.where("kind = 'Attribute' AND base = 'self'").select("file_id", F.explode("fns").alias("fn"), F.col("name").alias("field"))
     read = own.groupBy("file_id", "fn").agg(F.collect_set("field").alias("fields"))
-    by_name = last_wins(methods.select(*key, "fn", "name", "calls_made"), [*key, "name"], "fn").join(read, ["file_id", "fn"], "left")
+    by_name = last_wins(methods.select(*key, "fn", "name", "calls_made"), [*key, "name"], "fn").join(read, ["file_id", "fn"], "left").persist()
     fields = by_name.select(*key, "name", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
     each = methods.select(*key, "fn", "name").join(fields, [*key, "name"])
     a, b = each.alias("a"), each.alias("b")
@@ -148,7 +148,7 @@ def fan_counts(names: DataFrame, edges: DataFrame, keys: list[str] = ["file_id"]
 
 def call_graph(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """One row for each file with functions: density, depth and what it calls in other modules."""
-    named = qualified(nodes, functions)
+    named = qualified(nodes, functions).persist()  # edges, names and callers are read from it
     edges, cross = resolve_calls(named)
     names = named.select("file_id", F.col("qual").alias("node"))
     depth = longest_paths(edges, names, ["file_id"]).groupBy("file_id").agg(F.max("depth").cast("long").alias("max_intra_file_call_depth"))

@@ -24,7 +24,7 @@ def analyze(files: DataFrame, commits: DataFrame | None = None, changes: DataFra
     good = files.where("status = 'ok'") if "status" in files.columns else files
     tree = nodes.parse(nodes.spread(good)).persist(StorageLevel.MEMORY_AND_DISK)
     structure = astmetrics.file_structure(tree).where("NOT failed")
-    functions = astmetrics.function_metrics(tree)
+    functions = astmetrics.function_metrics(tree).persist(StorageLevel.MEMORY_AND_DISK)
     ranged = good.join(structure.select("file_id", "doc_ranges"), "file_id")
     lines = textmetrics.line_metrics(ranged)
     out = good.select("file_id", F.col("path").alias("file_path")).join(structure.drop("doc_ranges", "failed"), "file_id").join(lines, "file_id")

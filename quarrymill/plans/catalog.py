@@ -230,7 +230,7 @@ def tpl_identifiers(spark: SparkSession, d: str) -> DataFrame:
 @query(_tpl("""SELECT file_id, nc AS classes, 2 * nc AS methods, nc AS attributes, 6::BIGINT AS line_count, nc - 1 AS derived, 0::BIGINT AS external_calls FROM tpl"""))
 def tpl_classes(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)[1]
-    c = astmetrics.class_metrics(tree, astmetrics.function_metrics(tree))
+    c = astmetrics.class_metrics(tree, astmetrics.function_metrics(tree).persist())
     return c.groupBy("file_id").agg(F.count(F.lit(1)).alias("classes"), F.sum("methods").alias("methods"), F.sum("attributes").alias("attributes"), F.max("line_count").cast("long").alias("line_count"),
                                     F.count_if("has_inheritance").alias("derived"), F.sum("external_calls").alias("external_calls"))
 
@@ -239,7 +239,7 @@ def tpl_classes(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, unnest(range(0, nc)) AS c FROM tpl)"""))
 def tpl_oo(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)[1]
-    return objects.oo_metrics(tree, astmetrics.function_metrics(tree)).select("file_id", "class_name", "methods", "public_methods", "wmc", "lcom", "rfc", "tna", "cbo", F.col("dit").cast("long").alias("dit"))
+    return objects.oo_metrics(tree, astmetrics.function_metrics(tree).persist()).select("file_id", "class_name", "methods", "public_methods", "wmc", "lcom", "rfc", "tna", "cbo", F.col("dit").cast("long").alias("dit"))
 
 
 @query(_tpl("SELECT file_id, nc AS attribute_mutations_outside_init FROM tpl"))
@@ -251,7 +251,7 @@ def tpl_mutation(spark: SparkSession, d: str) -> DataFrame:
     1::BIGINT AS inter_file_coupling, nf AS cross_calls FROM tpl"""))
 def tpl_callgraph(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)[1]
-    g = objects.call_graph(tree, astmetrics.function_metrics(tree))
+    g = objects.call_graph(tree, astmetrics.function_metrics(tree).persist())
     return g.select("file_id", "nodes", "edges", _r("call_graph_density", 8), "max_intra_file_call_depth", "inter_file_coupling", F.size("cross_file_call_edges").cast("long").alias("cross_calls"))
 
 
