@@ -44,9 +44,6 @@ def corpus(seed=1, n=60):
     return [*out, (n, None), (n + 1, ""), (n + 2, " \n\t "), (n + 3, "w " * 5000), (n + 4, "ÀB c"), (n + 5, "àb c"), (n + 6, "AB c d"), (n + 7, "ab c d"), (None, out[5][1])]
 
 
-EMPTY = [f for f in ("spans", "n", "_gone", "size", "key", "block", "m")]
-
-
 # --- 1 ------------------------------------------------------------------------------------------------------------
 
 
