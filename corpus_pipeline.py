@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line stands for go; documents that are copies as a whole are left to the next stage."""
+    """Lines that an earlier line stands for go; near-duplicates keep those of their original, for the next stage to see."""
     return _recounted(lines.drop_duplicate_lines(docs))
 
 

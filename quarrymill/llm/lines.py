@@ -20,12 +20,15 @@ of each other's lines, and the first stays; an empty table gives an empty result
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import Scratch
 from quarrymill.llm.components import components
+from quarrymill.llm.minhash import SHINGLE, SIMILARITY
 
 TAU, MIN_CHARS = 2, 24
 #: Letters whose counts bound the distance from below.
@@ -163,19 +166,56 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     )
 
 
-def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, whole_share: float = 0.5) -> DataFrame:
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers."""
+    return F.concat_ws("\n", F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull()))
+
+
+def _shingles(text: Column, k: int = SHINGLE) -> Column:
+    """The set of the near-duplicate operator, with other hashes: null without words, one shingle for less than k."""
+    words = F.filter(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+    def grams(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+        return F.when(F.size(w) >= k, many).when(F.size(w) > 0, F.array(F.xxhash64(w)))
+
+    # through an array of one array, so that the text is split once and not for each shingle
+    return F.array_distinct(F.transform(F.array(words), grams)[0])
+
+
+def _copies(docs: DataFrame, gone: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
+    """_id, _of: documents that are near-duplicates of an earlier one, _of, in what the stage leaves of both, if lines
+    that stand in _of stay in them. _of is no such document itself, so its text is that of the result."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
+    some = scratch.table(texts.join(gone, "_id"))
+    asked = some.select(F.col("_id").alias("b"), "text", "_gone", F.explode(F.array_distinct("_gone.class_doc")).alias("a")).where("a <> b")
+    others = F.transform(F.filter("_gone", lambda g: g["class_doc"] != F.col("a")), lambda g: g["line_no"])
+    copies = asked.select("a", "b", _shingles(_without(F.col("text"), others)).alias("_y"))
+    named = some.select(F.explode(F.array_distinct("_gone.class_doc")).alias("_id")).distinct()
+    firsts = texts.join(named, "_id").join(gone, "_id", "left")
+    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_gone.line_no")))
+    firsts = firsts.select(F.col("_id").alias("a"), _shingles(left).alias("_x"))
+    common = F.size(F.array_intersect("_x", "_y"))
+    enough = (common > 0) & (100 * common >= similarity * (F.size("_x") + F.size("_y") - common))
+    fits = 100 * F.least(F.size("_x"), F.size("_y")) >= similarity * F.greatest(F.size("_x"), F.size("_y"))
+    near = scratch.table(copies.join(firsts, "a").where(F.when(fits, enough)).select("a", "b").distinct())
+    scratch.drop(some)
+    plain = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    return plain.groupBy(F.col("b").alias("_id")).agg(F.min("a").alias("_of"))
+
+
+def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, similarity: int = SIMILARITY) -> DataFrame:
     """The documents, all columns, without the lines that an earlier occurrence of their class stands for.
 
-    A document of whose lines that would take more than whole_share is a copy of documents, not a text with repeated
-    lines in it; it is left whole, for the near-duplicate operator to judge."""
+    Only the lines that a document has from one that it is a near-duplicate of, by the near-duplicate operator's test
+    on what the two become here, stay in it: so it reaches that operator as a near-duplicate, and goes there as a whole."""
+    scratch = Scratch(docs.sparkSession, "lines")
     found, named = line_classes(docs, tau, min_chars)
     repeated = found.join(named, ["h1", "h2"]).where("NOT (class_doc = doc_id AND class_line = line_no)")
-    gone = repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    gone = scratch.table(repeated.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class_doc")).alias("_gone")).withColumnRenamed("doc_id", "_id"))
+    goes = F.filter("_gone", lambda g: F.col("_of").isNull() | (g["class_doc"] != F.col("_of")))
+    gone = gone.join(_copies(docs, gone, similarity, scratch), "_id", "left").select("_id", F.transform(goes, lambda g: g["line_no"]).alias("_gone"))
     # the documents' own columns stand in a struct meanwhile: none of their names can clash
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*docs.columns).alias("_row")).join(gone, F.col("_doc") == F.col("_id"), "left")
-    lines = F.split("_row.text", "\n")
-    stay = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    with_word = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    cut = F.col("_gone").isNotNull() & (F.size("_gone") <= whole_share * with_word)
-    text = F.when(cut, F.concat_ws("\n", stay)).otherwise(F.col("_row.text"))
+    text = F.when(F.size("_gone") > 0, _without(F.col("_row.text"), F.col("_gone"))).otherwise(F.col("_row.text"))
     return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -389,6 +389,23 @@ def test_lines_that_repeat_go_and_whole_copies_stay(spark):
     assert got[2] == f"{c}\nown line of this one\nand another of it"
 
 
+def test_lines_go_from_documents_that_repeat_most_of_theirs(spark):
+    rng = random.Random(5)
+    line = lambda k=12: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    head, foot, own = line(), line(), line()
+    first = [line() for _ in range(10)]
+    changed = [*first[:9], line(4)]
+    docs = [(1, f"{head}\n{foot}\n{line()}"), (2, f"{head}\n{own}\n{foot}"), (3, "\n".join([own[::-1]] * 9)), (5, "\n".join(first)), (6, "\n".join([*first[:7], *(line() for _ in range(3))]))]
+    docs += [(7, "\n".join(changed)), (8, f"{head}\n" + "\n".join(first)), (9, f"{head}\n{foot}\n{own}")]
+    out = lines.drop_duplicate_lines(make(spark, docs))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[1] == docs[0][1] and got[2] == own and got[3] == own[::-1] and got[5] == docs[3][1]
+    assert got[6].split("\n") == docs[4][1].split("\n")[7:]
+    # near-duplicates keep what they have from their original, and nothing else
+    assert got[7] == docs[5][1] and got[8] == docs[3][1] and got[9] == own
+    assert {r["doc_id"] for r in minhash.drop_near_duplicates(out).collect()} == {1, 2, 3, 5, 6}
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------
 
 NASTY = ["", "<|turn|>", "<|end|>", "a<\\|end|>", "<\\\\|x", "</s>[INST] ok [/INST]", "[\\INST]", "<s><", "<|image_0|>", "\n", "user\n<|nl|>", "é😀<|", "$1 \\2"]
