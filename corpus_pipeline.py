@@ -11,6 +11,9 @@ from quarrymill.llm import lines, minhash, mixing, packing, quality
 from quarrymill.llm.common import Scratch
 from quarrymill.llm.registry import tokenizer_path
 
+#: Shared word shingles in a hundred that make near-duplicates here; the 85 of minhash is op2's.
+SIMILARITY = 80
+
 
 def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars as it is after a stage that changes texts."""
@@ -26,12 +29,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line stands for go; near-duplicates keep those of their original, for the next stage to see."""
-    return _recounted(lines.drop_duplicate_lines(docs))
+    return _recounted(lines.drop_duplicate_lines(docs, similarity=SIMILARITY))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id stays."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,14 @@ def test_empty_tables(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(124)]
+    texts = [words, [*words[:20], "x", *words[21:100], "y", *words[101:]], [*words[:20], "x", *words[21:60], "y", *words[61:100], "z", *words[101:]]]
+    sets = [{tuple(t[k : k + 5]) for k in range(120)} for t in texts]
+    alike = [len(sets[0] & x) / len(sets[0] | x) for x in sets]
+    assert 0.8 <= alike[1] < 0.85 and alike[2] < 0.8
+    for other, kept in ((1, {0}), (2, {0, 2})):
+        docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in (0, other)], "doc_id long, text string")
+        assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == kept
