@@ -107,8 +107,9 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, id_col: str = "
     shards, blocks = max(1, -(-measured["n"] // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
     norm = float(np.sqrt(measured["m"]))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).withColumn("block", every(blocks))
-    stream = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", every(shards))
+    # cogroup doesn't cast its keys, and equal numbers of other types go to other partitions: both sides have ints
+    index = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
+    stream = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, ranks_of, scores = [], [], []

@@ -314,6 +314,26 @@ def test_recall_of_the_index():
     assert np.mean(found) >= 0.9 and np.mean([len(c) for c in near]) < 4000
 
 
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 6500)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 25)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(18000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 360 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 18000, 360)) and 18000 / 3 > 3 * neighbours.BUDGET
+    found = []
+    for q, rows in got.items():
+        s = neighbours.exact_products(x[q].astype(float), x)
+        assert len(rows) == 20 and all(score == s[i] for i, score in rows) and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+        best = sorted((i for i in range(18000) if i != q), key=lambda i: (-s[i], i))[:20]
+        found.append(len({i for i, _ in rows} & set(best)) / 20)
+    assert np.mean(found) >= 0.9
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
