@@ -1,9 +1,10 @@
 """Chat formatting with typed content parts, by DataFrame functions alone.
 
 A message's content is an array of parts: struct<type: string, text: string, ref: string, units: long>. A visitor
-turns each part into text by its type, in order: text is escaped; image, audio and document parts become placeholders
-that name their kind and number, and are recorded in ``attachments`` with their reference and the tokens that they
-expand to. The template is
+goes through them in order, by their type: text that stands side by side is joined and then escaped, so that no control
+string can be put together from parts; image, audio and document parts become placeholders of their kind, turn and
+place, no two alike in a conversation, and are recorded in ``attachments`` with their placeholder, their reference and the
+tokens that they expand to. The template is
 
     <|turn|>role\\n content <|end|>
 
@@ -47,44 +48,65 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
 
 
-def visit(part: Column, nth: Column, unit_tokens: dict[str, int] = UNIT_TOKENS) -> Column:
-    """What one part adds to the text: struct<text, loss_text, ref, kind, tokens>."""
-    out = F.coalesce(part["text"], F.lit(""))
-    shown, tokens = escape(out), F.lit(None).cast("bigint")
-    for kind, each in unit_tokens.items():
-        mine = part["type"] == kind
-        n = F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(0))
-        shown = F.when(mine, F.concat(F.lit(f"<|{kind}_"), nth.cast("string"), F.lit("|>"))).otherwise(shown)
-        tokens = F.when(mine, n * each).otherwise(tokens)
-    return F.struct(shown.alias("shown"), part["type"].alias("kind"), part["ref"].alias("ref"), tokens.alias("tokens"))
+def is_file(part: Column, unit_tokens: dict[str, int] = UNIT_TOKENS) -> Column:
+    return F.coalesce(part["type"].isin(list(unit_tokens)), F.lit(False))
+
+
+def placeholder(part: Column, turn_no: Column, nth: Column) -> Column:
+    return F.concat(F.lit("<|"), part["type"], F.lit("_"), turn_no.cast("string"), F.lit("."), nth.cast("string"), F.lit("|>"))
+
+
+def visit(parts: Column, turn_no: Column, unit_tokens: dict[str, int] = UNIT_TOKENS) -> Column:
+    """The text that a turn's parts make. Text waits in open until a file or the end follows, and is escaped as one."""
+    marked = F.transform(parts, lambda p, i: F.struct(F.when(is_file(p, unit_tokens), placeholder(p, turn_no, i)).alias("mark"), F.coalesce(p["text"], F.lit("")).alias("text")))
+    empty = F.struct(F.lit("").alias("shown"), F.lit("").alias("open"))
+
+    def step(acc: Column, p: Column) -> Column:
+        file = p["mark"].isNotNull()
+        shown = F.when(file, F.concat(acc["shown"], escape(acc["open"]), p["mark"])).otherwise(acc["shown"])
+        return F.struct(shown.alias("shown"), F.when(file, F.lit("")).otherwise(F.concat(acc["open"], p["text"])).alias("open"))
+
+    return F.aggregate(marked, empty, step, lambda acc: F.concat(acc["shown"], escape(acc["open"])))
+
+
+def attachments(parts: Column, turn_no: Column, unit_tokens: dict[str, int] = UNIT_TOKENS) -> Column:
+    """array<struct<turn_no, placeholder, kind, ref, tokens>> of a turn's files."""
+
+    def one(p: Column, i: Column) -> Column:
+        tokens = F.lit(None).cast("bigint")
+        for kind, each in unit_tokens.items():
+            tokens = F.when(p["type"] == kind, F.greatest(F.coalesce(p["units"], F.lit(1)), F.lit(0)) * each).otherwise(tokens)
+        found = F.struct(turn_no.cast("int").alias("turn_no"), placeholder(p, turn_no, i).alias("placeholder"), p["type"].alias("kind"), p["ref"].alias("ref"), tokens.alias("tokens"))
+        return F.when(is_file(p, unit_tokens), found)
+
+    return F.filter(F.transform(parts, one), lambda x: x.isNotNull())
 
 
 def format_chats(messages: DataFrame, unit_tokens: dict[str, int] = UNIT_TOKENS, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, role, content array<PART>) -> conv_id, n_turns, formatted, loss array<struct<start, end>> (places
-    in code points of formatted, of what loss_role says), attachments array<struct<turn_no, kind, ref, tokens>>,
-    attachment_tokens."""
-    kinds = list(unit_tokens)
+    in code points of formatted, of what loss_role says), attachments array<struct<turn_no, placeholder, kind, ref,
+    tokens>>, attachment_tokens."""
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.array().cast(f"array<{PART}>")).alias("content"))
     one = F.struct("turn", "role", "content")
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
 
-    def render(t: Column) -> Column:
-        parts = F.transform(t["content"], lambda p, i: visit(p, i, unit_tokens))
-        body = F.concat_ws("", F.transform(parts, lambda p: p["shown"]))
+    def render(t: Column, i: Column) -> Column:
+        body = visit(t["content"], i, unit_tokens)
         head = F.concat(F.lit(TURN), F.replace(escape(t["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-        files = F.filter(parts, lambda p: p["kind"].isin(kinds))
-        return F.struct(head.alias("head"), body.alias("body"), F.length(head).alias("h"), F.length(body).alias("b"), (t["role"] == loss_role).alias("loss"), files.alias("files"))
+        return F.struct(head.alias("head"), body.alias("body"), (t["role"] == loss_role).alias("loss"), attachments(t["content"], i, unit_tokens).alias("files"))
 
+    # lengths are taken of what is rendered, in a projection of their own: each text is made once
     done = convs.select("conv_id", F.transform("turns", render).alias("r"))
     text = F.concat_ws("", F.transform("r", lambda x: F.concat(x["head"], x["body"], F.lit(END))))
     zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["h"]
-        span = F.struct(a.cast("int").alias("start"), (a + x["b"]).cast("int").alias("end"))
-        return F.struct((a + x["b"] + len(END)).cast("int").alias("at"), F.when(x["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        a = acc["at"] + F.length(x["head"])
+        b = a + F.length(x["body"])
+        span = F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+        return F.struct((b + len(END)).cast("int").alias("at"), F.when(x["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    files = F.flatten(F.transform("r", lambda x, i: F.transform(x["files"], lambda f: F.struct(i.alias("turn_no"), f["kind"].alias("kind"), f["ref"].alias("ref"), f["tokens"].alias("tokens")))))
+    files = F.flatten(F.transform("r", lambda x: x["files"]))
     out = done.select("conv_id", F.size("r").cast("long").alias("n_turns"), text.alias("formatted"), F.aggregate("r", zero, step)["spans"].alias("loss"), files.alias("attachments"))
     total = F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, f: a + F.coalesce(f["tokens"], F.lit(0).cast("bigint")))
     return out.withColumn("attachment_tokens", total)
