@@ -55,7 +55,7 @@ class Features(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        shape = bytes(m.lastindex + (8 if len(m[0]) > 1 else 0) for m in _RUNS.finditer(word[:64]))
+        shape = bytes(m.lastindex + (8 if len(m[0]) > 1 else 0) for m in _RUNS.finditer(word))
         third = self.buckets // 4  # shapes and endings have a quarter of the buckets each, words the rest
         a = xxhash.xxh3_64_intdigest(word.lower()) % (2 * third)
         b = 2 * third + xxhash.xxh3_64_intdigest(shape, 1) % third
@@ -83,17 +83,20 @@ def _flat(docs: list[bytes], known: Features) -> tuple[np.ndarray, np.ndarray, n
 
 
 def context_sums(docs: list[bytes], known: Features, index: np.ndarray) -> np.ndarray:
-    """Sum of the index vectors beside each bucket's words."""
+    """Sum of the index vectors that stand beside each bucket's words: of the words before and after, and of the ending
+    of the word after."""
     out = np.zeros_like(index)
     b, of, _ = _flat(docs, known)
     if b.shape[1] < 2:
         return out
     beside = of[1:] == of[:-1]
-    pairs, n = np.unique(b[0, :-1][beside] * len(index) + b[2, 1:][beside], return_counts=True)
-    for i in range(0, len(pairs), 50_000):  # sorted by the first bucket: sums of stretches
-        first, second = pairs[i : i + 50_000] // len(index), pairs[i : i + 50_000] % len(index)
-        starts = np.flatnonzero(np.diff(first, prepend=-1))
-        out[first[starts]] += np.add.reduceat(index[second] * n[i : i + 50_000, None].astype(np.float32), starts)
+    left, right = b[:, :-1][:, beside], b[:, 1:][:, beside]
+    for here, there in ((left[0], right[0]), (right[0], left[0]), (left[0], right[2]), (left[1], right[0]), (left[2], right[0])):
+        pairs, n = np.unique(here * len(index) + there, return_counts=True)
+        for i in range(0, len(pairs), 50_000):  # sorted by the first bucket: sums of stretches
+            first, second = pairs[i : i + 50_000] // len(index), pairs[i : i + 50_000] % len(index)
+            starts = np.flatnonzero(np.diff(first, prepend=-1))
+            out[first[starts]] += np.add.reduceat(index[second] * n[i : i + 50_000, None].astype(np.float32), starts)
     return out
 
 
