@@ -3,12 +3,15 @@
 Largest inner product becomes smallest distance by one more coordinate: with all vectors scaled by the greatest norm M,
 a vector gets sqrt(1 - |x|^2 / M^2) and a query 0. Each of PROJECTIONS random lines keeps a shard's vectors in an
 array sorted by their place on it. A query opens a window around its own place on every line and widens it step by
-step (virtual rehashing: radius R, then C R, C^2 R, ...); a vector inside the windows of a THRESHOLD share of the lines is verified
-by its inner product in double precision. A query ends when the lines' windows hold so many verified vectors that further
-steps don't pay: BUDGET of them, or FRACTION of the shard if that is more; if a shard has no more than BUDGET, all are.
+step (virtual rehashing: radius R, then STEP R, ...). A vector inside the windows of a THRESHOLD share of the lines is
+verified: its distance is measured. A query ends once the windows are so wide that a vector as near as the K-th best
+one verified so far has an expected share of collisions of THRESHOLD and MARGIN standard deviations: a nearer one that
+has not collided often enough yet is then unlikely. So the data decide what is verified, and the rule is the same at every size.
 
-Vectors are dealt to shards of SHARD_ROWS, queries to blocks of BLOCK_ROWS, and every shard meets every block once:
-queries are a stated set that is set against all rows. A shard gives each query its nearest K, and these are ranked.
+Vectors are dealt to shards of SHARD_ROWS, and every query meets every shard once: queries are a stated set that is set
+against all rows. A task sorts its shard's lines once, and the queries stream past them; while there are fewer shards
+than tasks at a time, parts of the queries share a shard, and each part sorts it. A shard gives each query its nearest K, and these are
+ranked.
 
 Equal vectors are one, with the K + 1 smallest vec_ids (others can never be among K nearest), so a vector with a third of
 all rows is one entry. Sizes of tasks are fixed, whatever the input.
@@ -20,19 +23,30 @@ and vector count once; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import Scratch
+from quarrymill.llm.common import Scratch, trimmed
+
+#: THRESHOLD: share of the lines whose windows must hold a vector. MARGIN: in standard deviations of that share.
+K, PROJECTIONS, THRESHOLD, MARGIN, STEP = 20, 256, 0.78, 0.8, 1.05
+SHARD_ROWS = 32_768
+_AT_ONCE = 64  # queries answered in one batch
+
+
+def last_window(threshold: float, margin: float, projections: int) -> float:
+    """Half a window's width, by the distance of a vector that it is wide enough for.
 
-#: THRESHOLD: share of the lines whose windows must hold a vector.
-K, PROJECTIONS, THRESHOLD = 20, 128, 0.78
-STEP, BUDGET, FRACTION = 1.06, 1500, 0.06
-SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
-_AT_ONCE = 64  # queries counted together
+    A vector at distance s lies at a normal distance of deviation s on a line, so a window of half width R holds it
+    with a chance of 2 Phi(R / s) - 1."""
+    share = min(0.999, threshold + margin * (threshold * (1 - threshold) / projections) ** 0.5)
+    return NormalDist().inv_cdf((1 + share) / 2)
 
 
 class CollisionIndex:
@@ -43,38 +57,41 @@ class CollisionIndex:
         rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", x, x)))
         lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, projections))
         place = (x @ lines[:-1] + rest[:, None] * lines[-1]).T
-        self.vectors, self.lines = vectors, lines[:-1]
+        self.vectors, self.norm, self.lines = vectors, norm, lines[:-1]
         self.order = np.argsort(place, axis=1, kind="stable")
         self.sorted = np.take_along_axis(place, self.order, axis=1)
-
-    def candidates(self, queries: np.ndarray, threshold: float = THRESHOLD, step: float = STEP, budget: int = BUDGET, fraction: float = FRACTION) -> list[np.ndarray]:
-        """For each query, the vectors to verify."""
-        n = len(self.vectors)
-        want = max(budget, int(fraction * n))
-        if n <= want:
-            return [np.arange(n)] * len(queries)
-        scale = np.linalg.norm(queries, axis=1, keepdims=True)
-        places = (queries / np.maximum(scale, 1e-300)) @ self.lines
-        m, lines = len(self.order), list(zip(self.sorted, self.order, strict=True))
-        start = (self.sorted[:, (3 * n) // 4] - self.sorted[:, n // 4]).mean()
-        most = int((1 - threshold) * m)
+        n = len(vectors)
+        self.start = max(0.8 * float((self.sorted[:, (3 * n) // 4] - self.sorted[:, n // 4]).mean()), 1e-9)
+
+    def candidates(self, queries: np.ndarray, k: int = K, threshold: float = THRESHOLD, margin: float = MARGIN, step: float = STEP) -> list[np.ndarray]:
+        """For each query, the vectors that were verified."""
+        n, m = len(self.vectors), len(self.order)
+        lines, most, wide = list(zip(self.sorted, self.order, strict=True)), int((1 - threshold) * m), last_window(threshold, margin, m)
+        scale = np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
         out = []
-        for q in places:
+        for unit, places in zip(queries / scale, queries / scale @ self.lines, strict=True):
             # windows soon hold most of a line, so what is counted is the lines whose window a vector is not in
-            radius, missed = start, np.zeros(n, np.int16)
-            ends = [(int(x), int(y)) for x, y in ((s.searchsorted(c - radius), s.searchsorted(c + radius, "right")) for (s, _), c in zip(lines, q, strict=True))]
+            radius, missed = self.start, np.zeros(n, np.int16)
+            ends = [(int(s.searchsorted(c - radius)), int(s.searchsorted(c + radius, "right"))) for (s, _), c in zip(lines, places, strict=True)]
             for (_, order), (x, y) in zip(lines, ends, strict=True):
                 missed[order[:x]] += 1  # a line holds a vector once, so no place is counted twice
                 missed[order[y:]] += 1
-            while np.count_nonzero(missed <= most) < want:
+            verified, best = np.zeros(n, bool), np.zeros(0)
+            while True:
+                new = np.flatnonzero((missed <= most) & ~verified)
+                verified[new] = True
+                # k and the query's own vector
+                best = np.sort(np.concatenate([best, 2 - 2 * (self.vectors[new] @ unit) / self.norm]))[: k + 1]
+                if (len(best) > k and radius >= wide * np.sqrt(max(0.0, best[k]))) or verified.all():
+                    break
                 radius *= step
-                for k, ((s, order), c) in enumerate(zip(lines, q, strict=True)):
-                    x, y = ends[k]
+                for i, ((s, order), c) in enumerate(zip(lines, places, strict=True)):
+                    x, y = ends[i]
                     new_x, new_y = int(s.searchsorted(c - radius)), int(s.searchsorted(c + radius, "right"))
                     missed[order[new_x:x]] -= 1
                     missed[order[y:new_y]] -= 1
-                    ends[k] = new_x, new_y
-            out.append(np.flatnonzero(missed <= most))
+                    ends[i] = new_x, new_y
+            out.append(np.flatnonzero(verified))
         return out
 
 
@@ -83,6 +100,23 @@ def exact_products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.add.accumulate(vectors.astype(np.float64) * query.astype(np.float64), axis=1)[:, -1] if len(vectors) else np.zeros(0)
 
 
+def _answers(built: CollisionIndex, ids: list[list[int]], queries: np.ndarray, names: list[int], k: int) -> Iterator[pa.RecordBatch]:
+    """The nearest k that a shard has for each query."""
+    for start in range(0, len(queries), _AT_ONCE):
+        asked, found, scores = [], [], []
+        for j, near in enumerate(built.candidates(queries[start : start + _AT_ONCE], k), start):
+            rough = built.vectors[near] @ queries[j]
+            if len(near) > 4 * k:  # a margin far above what rounding can do decides which are measured exactly
+                cut = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                near = near[rough >= cut - 1e-9 * max(1.0, abs(cut))]
+            exact = exact_products(queries[j], built.vectors[near])
+            best = sorted((-float(s), i) for s, row in zip(exact, near.tolist(), strict=True) for i in ids[row] if i != names[j])[:k]
+            asked += [names[j]] * len(best)
+            scores += [-s for s, _ in best]
+            found += [i for _, i in best]
+        yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
 def usable(vector: Column) -> Column:
     """Not null, not zero, all components finite."""
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -90,48 +124,51 @@ def usable(vector: Column) -> Column:
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, embedding) and which rows are queries -> query_id, rank, vec_id, score."""
-    scratch = Scratch(embeddings.sparkSession, "neighbours")
+    spark = embeddings.sparkSession
+    scratch = Scratch(spark, "neighbours")
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     width = rows.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1)
     found = width.first()
     if found is None:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = scratch.table(rows.where(F.size("v") == found["w"]).distinct())
     one = W.partitionBy("v").orderBy("vec_id")
     some = rows.select("v", "vec_id").withColumn("_r", F.row_number().over(one)).where(F.col("_r") <= k + 1)
     distinct = scratch.table(some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     asked = scratch.table(rows.where("q").select("vec_id", "v"))
     measured = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    n_queries = asked.count()
-    shards, blocks = max(1, -(-measured["n"] // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
+    shards = max(1, -(-measured["n"] // SHARD_ROWS))
+    parts = max(1, -(-spark.sparkContext.defaultParallelism // shards))
     norm = float(np.sqrt(measured["m"]))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # cogroup doesn't cast its keys, and equal numbers of other types go to other partitions: both sides have ints
-    index = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    stream = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids, ranks_of, scores = [], [], []
-        if left.num_rows and right.num_rows:
-            flat = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
-            vectors, queries = flat(left), flat(right)
-            ids = left.column("ids").to_pylist()
-            built = CollisionIndex(vectors, norm)
-            for start in range(0, len(queries), _AT_ONCE):
-                for j, near in enumerate(built.candidates(queries[start : start + _AT_ONCE]), start):
-                    mine = right.column("vec_id")[j].as_py()
-                    rough = vectors[near] @ queries[j]
-                    if len(near) > 4 * k:  # a margin far above what rounding can do decides which are measured exactly
-                        cut = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-                        near = near[rough >= cut - 1e-9 * max(1.0, abs(cut))]
-                    exact = exact_products(queries[j], vectors[near])
-                    best = sorted((-float(s), i) for s, row in zip(exact, near.tolist(), strict=True) for i in ids[row] if i != mine)[:k]
-                    query_ids += [mine] * len(best)
-                    scores += [-s for s, _ in best]
-                    ranks_of += [i for _, i in best]
-        return pa.table({"query_id": pa.array(query_ids, pa.int64()), "vec_id": pa.array(ranks_of, pa.int64()), "score": pa.array(scores, pa.float64())})
-
-    met = index.groupBy("shard", "block").cogroup(stream.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    index = distinct.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), every(parts).alias("part"), F.lit(False).alias("asks"), "ids", "v")
+    stream = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asks"), F.array("vec_id").alias("ids"), "v")
+    # a shard's vectors come before the queries that are dealt to it
+    met = index.union(stream).repartition(8 * shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, ids, built = None, [], [], None
+        for batch in batches:
+            shard, part, asks = (np.asarray(batch.column(c)) for c in ("shard", "part", "asks"))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                vectors = np.asarray(some.column("v").flatten(), np.float64).reshape(b - a, -1)
+                if group != (shard[a], part[a]):
+                    group, held, ids, built = (shard[a], part[a]), [], [], None
+                if not asks[a]:
+                    held.append(vectors)
+                    ids += some.column("ids").to_pylist()
+                    continue
+                if not held:  # a shard that no vector fell into
+                    continue
+                if built is None:
+                    built = CollisionIndex(np.concatenate(held), norm)
+                yield from _answers(built, ids, vectors, [x[0] for x in some.column("ids").to_pylist()], k)
+
+    met = met.mapInArrow(trimmed(search), "query_id long, vec_id long, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

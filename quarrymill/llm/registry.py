@@ -104,15 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESC = r"'[<\[]\\*(\||/?s>|/?INST\])'"
 
 SQL: dict[str, str] = {
-    # the index verifies every vector of a shard of up to 1,500, so the small tables' results are exact
-    "op6_neighbours": """
-        WITH v AS (
-            SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-        )
-        SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)::INT AS rank,
-            c.vec_id, list_inner_product(q.v, c.v) AS score
-        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 20""",
     "op8_chat_format": rf"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

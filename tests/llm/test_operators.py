@@ -289,49 +289,73 @@ def test_quality_on_held_out_documents(spark):
 # --- 6 ------------------------------------------------------------------------------------------------------------
 
 
-def test_neighbours_of_small_tables_are_exact(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(120, 8)).astype(np.float32)
-    x[40:80] = x[40]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (220, [0.0] * 8), (240, [float("nan")] * 8), (260, [None] * 8), (280, [1.0]), (20, x[20].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+def recall(got, x, k=20):
+    """Mean share of the true nearest k that were found; rows must carry exact scores, in order."""
+    found = []
+    for q, rows in got.items():
+        s = neighbours.exact_products(x[q].astype(float), x)
+        assert all(score == s[i] for i, score in rows) and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+        best = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:k]
+        assert len(rows) == len(best)
+        found.append(len({i for i, _ in rows} & set(best)) / max(1, len(best)))
+    return np.mean(found)
+
+
+def collected(df):
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in df.orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for q in range(0, 120, 20):
-        s = neighbours.exact_products(x[q].astype(float), x)
-        assert got[q] == [(i, s[i]) for i in sorted((i for i in range(120) if i != q), key=lambda i: (-s[i], i))[:20]]
-    assert set(got) == set(range(0, 120, 20))
+    return got
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[40:80] = x[40]  # ties, more of them than neighbours asked for
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1200, None), (1220, [0.0] * 8), (1240, [float("nan")] * 8), (1260, [None] * 8), (1280, [1.0]), (20, x[20].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+    got = collected(neighbours.nearest(df, F.col("vec_id") % 20 == 0))
+    assert set(got) == set(range(0, 400, 20)) and recall(got, x) >= 0.9
+    copies = [i for i, _ in got[40] if 40 <= i < 80]
+    assert len(copies) > 5 and copies == list(range(41, 41 + len(copies)))  # of equal vectors the smaller vec_ids
+    few = collected(neighbours.nearest(df.where("vec_id < 12"), F.lit(True)))
+    assert len(few) == 12 and recall(few, x[:12]) == 1 and all(len(r) == 11 for r in few.values())
+    # one vec_id with two vectors: two candidates, and each asks
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(two, F.col("vec_id") == 1).collect()} == {(1, 0)}
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_recall_of_the_index():
+@pytest.mark.parametrize(("n", "share"), [(500, 0.5), (2000, 0.4), (9000, 0.3)])
+def test_recall_and_share_of_the_index(n, share):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(9000, 64))
+    x = rng.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = neighbours.CollisionIndex(x, 1.0).candidates(x[:40])
     found = [len(np.intersect1d(np.argsort(-(x @ x[i]))[1:21], c)) / 20 for i, c in enumerate(near)]
-    assert np.mean(found) >= 0.9 and np.mean([len(c) for c in near]) < 4000
+    assert np.mean(found) >= 0.9 and np.mean([len(c) for c in near]) < share * n
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(sf):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+    x = np.array([v for v in table.column("embedding").to_pylist() if v is not None and None not in v and np.isfinite(v).all() and any(v)], np.float64)
+    built = neighbours.CollisionIndex(x, float(np.linalg.norm(x, axis=1).max()))
+    near = built.candidates(x[::20])
+    found = [len(np.intersect1d(np.argsort(-(x @ x[20 * i]), kind="stable")[:21], c)) / 21 for i, c in enumerate(near)]
+    assert np.mean(found) >= 0.9 and np.mean([len(c) for c in near]) < 0.45 * len(x)
 
 
 def test_recall_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 6500)
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 25)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(18000, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = collections.defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 360 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 18000, 360)) and 18000 / 3 > 3 * neighbours.BUDGET
-    found = []
-    for q, rows in got.items():
-        s = neighbours.exact_products(x[q].astype(float), x)
-        assert len(rows) == 20 and all(score == s[i] for i, score in rows) and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
-        best = sorted((i for i in range(18000) if i != q), key=lambda i: (-s[i], i))[:20]
-        found.append(len({i for i, _ in rows} & set(best)) / 20)
-    assert np.mean(found) >= 0.9
+    got = collected(neighbours.nearest(df, F.col("vec_id") % 360 == 0))
+    assert set(got) == set(range(0, 18000, 360)) and recall(got, x) >= 0.9
 
 
 # --- 7 ------------------------------------------------------------------------------------------------------------
