@@ -32,15 +32,19 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, or the one set on the context. Where neither is set, a
+    temporary folder of this machine if all runs in this process (tests), and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        found = tempfile.mkdtemp(prefix="quarrymill-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    kept = context._jsc.sc().getCheckpointDir()
+    if kept.isDefined():
+        return kept.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quarrymill-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 class Scratch:

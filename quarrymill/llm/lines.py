@@ -7,6 +7,11 @@ match (multi-match-aware selection). Lines that share a key are candidates; thos
 differ by more than 2 TAU cannot match and go in the join's condition; the rest is verified by a bit-parallel
 automaton: TAU + 1 rows of 2 TAU + 1 bits, the band around the diagonal, advanced by shifts and masks for each character.
 
+A key that more than CROWD lines share, such as a common beginning, is not opened pair by pair. The lines that meet there
+are compared by their grams of GRAM characters instead: TAU edits touch TAU * GRAM grams at most, so of two lines that match
+the TAU * GRAM + 1 rarest grams of each, in one order for all, have one in common (prefix filtering). A common beginning is not among a
+line's rarest grams while it has others; whatever CROWD is, the pairs found are the same.
+
 Equal lines are one row before anything else, so a line in a third of all documents costs as much as any other, and a
 key's lines are different texts. Links between lines give classes (connected components); of each class the first
 occurrence, by (doc_id, line number), stays.
@@ -32,7 +37,9 @@ from quarrymill.llm.minhash import SHINGLE, SIMILARITY
 
 TAU, MIN_CHARS = 2, 24
 #: Letters whose counts bound the distance from below.
-LETTERS = "etaonishrdlucmpgb.,é"
+LETTERS = "etaonishrdlucmpgb.,é0123456789"
+#: A key of more lines is crowded.
+CROWD, GRAM = 64, 4
 #: Ids up to this many are sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -100,7 +107,17 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def linked_lines(distinct: DataFrame, scratch: Scratch, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def rarest_grams(texts: DataFrame, gram: int, tau: int = TAU) -> DataFrame:
+    """(id, line, n) -> key, id: those of the tau * gram + 1 rarest grams of each line that other lines here have too."""
+    at = F.sequence(F.lit(0), F.col("n") - gram)
+    wide = texts.select("id", "n", F.encode("line", "UTF-32").alias("_w"))
+    rows = wide.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr("_w", 4 * i + 1, F.lit(4 * gram)))))).alias("key"))
+    counted = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c")), "key")
+    place = F.row_number().over(W.partitionBy("id").orderBy("_c", "key"))
+    return counted.withColumn("_p", place).where((F.col("_p") <= tau * gram + 1) & (F.col("_c") > 1)).select("key", "id")
+
+
+def linked_lines(distinct: DataFrame, scratch: Scratch, tau: int = TAU, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """(id, line) of different lines -> a, b (ids, a < b): those within tau edits of each other."""
     some = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, tau + 1))
     # columns of their own below the explode: each is computed once for a line
@@ -110,22 +127,32 @@ def linked_lines(distinct: DataFrame, scratch: Scratch, tau: int = TAU, min_char
     lengths = {d: (F.col(f"_l{d}"), F.col(f"_s{d}"), F.col(f"_r{d}")) for d in range(tau + 1)}
     keys = wide.select("id", F.posexplode(segment_keys(F.col("_w"), lengths, tau)).alias("_k", "key")).where("key IS NOT NULL")
     keys = keys.select("key", "id", (F.col("_k") <= tau).alias("index"))
-    crowded = keys.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1").drop("_n")
+    crowded = keys.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1")
     crowded = scratch.table(crowded)
     wanted = scratch.table(crowded.select("id").distinct())
     few = wanted.count() <= BROADCAST_ROWS
     texts = some.join(F.broadcast(wanted) if few else wanted, "id")
     counts = [(F.col("n") - F.length(F.translate("line", c, ""))).alias(f"c{i}") for i, c in enumerate(LETTERS)]
     texts = scratch.table(texts.select("id", "line", "n", *counts))
-    rows = crowded.join(texts, "id")
-    x, y = rows.where("index").alias("x"), rows.alias("y")
     apart = F.lit(0)
     for i in range(len(LETTERS)):
         apart = apart + F.abs(F.col(f"x.c{i}") - F.col(f"y.c{i}"))
     # of equal lengths the smaller id is first; else the shorter line, which is the one in the index
     once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & once & (apart <= 2 * tau))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.line").alias("_x"), F.col("y.line").alias("_y")).distinct()
+
+    def met(index: DataFrame, probes: DataFrame) -> DataFrame:
+        """Pairs of lines with a key in common that lengths and letters allow."""
+        x, y = index.join(texts, "id").alias("x"), probes.join(texts, "id").alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & once & (F.col("y.n") - F.col("x.n") <= tau) & (apart <= 2 * tau))
+        return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.line").alias("_x"), F.col("y.line").alias("_y"))
+
+    roomy = crowded.where(F.col("_n") <= crowd).select("key", "id", "index")
+    pairs = met(roomy.where("index").select("key", "id"), roomy.select("key", "id"))
+    packed = crowded.where(F.col("_n") > crowd).select("id").distinct()
+    if not packed.isEmpty():
+        rare = scratch.table(rarest_grams(texts.join(packed, "id"), max(1, min(GRAM, max(min_chars, tau + 1) // (tau + 1))), tau))
+        pairs = pairs.union(met(rare, rare))
+    pairs = pairs.distinct()
     # written first: verification then runs once for each pair, after all that is cheaper
     pairs = scratch.table(pairs)
     # through an array of one struct, so that the texts are split once for each pair and not at each step

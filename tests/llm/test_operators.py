@@ -425,6 +425,36 @@ def test_lines_equal_brute_force(spark):
     assert lines.duplicate_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 64])
+def test_crowded_segments_equal_brute_force(spark, crowd):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefé 0123") for _ in range(n))
+    head, tail, texts_ = text(30), text(30), set()
+    for _ in range(60):
+        line = head + text(12) + (tail if rng.random() < 0.6 else text(20))
+        texts_.add(line)
+        for _ in range(3):
+            k = rng.randrange(len(line))
+            texts_.add(line[:k] + rng.choice(["", "q", "é"]) + line[k + rng.randrange(2) :])
+    texts_ |= {head[:12] * 3 + x for x in ("", "a", "ab", "abc")} | {"z" * n for n in (24, 25, 26, 27, 40)}
+    rows = list(enumerate(sorted(texts_)))
+    df = spark.createDataFrame(rows, "id long, line string")
+    got = {(r["a"], r["b"]) for r in lines.linked_lines(df, common.Scratch(spark, "t"), crowd=crowd).collect()}
+    assert got == {(i, j) for i, a in rows for j, b in rows if i < j and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
+    assert len(got) > 100
+
+
+def test_many_lines_with_a_common_beginning(spark):
+    rng = random.Random(3)
+    head = "the same beginning of every line in the table, " * 2
+    rows = [(i, f"{head}{rng.getrandbits(200):060d}") for i in range(5000)]
+    scratch, made = common.Scratch(spark, "t"), []
+    table = scratch.table
+    scratch.table = lambda df, *a: made.append(table(df, *a)) or made[-1]
+    assert lines.linked_lines(spark.createDataFrame(rows, "id long, line string"), scratch).count() == 0
+    assert max(x.count() for x in made if "_x" in x.columns) < 5000  # pairs that are verified, of 12 million
+
+
 def test_lines_that_repeat_go_and_whole_copies_stay(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
     docs = [(1, f"{a}\n{b}"), (2, f"{c}\n{a}x\n{b} y\nown line of this one\nand another of it"), (3, f"{a}\n{b}")]
