@@ -14,6 +14,8 @@
    these shingles and compared where sizes and counts allow a link. In all other pairs rare shingles count for
    nothing, which bounds intersections and rules most of them out. The rest is opened with eight times as many centres each
    time, without those that were centres, until every pair of a bucket is compared, ruled out or in one component.
+   Centres are drawn by a hash against the bucket's number of members, which is aggregated before the shuffle, and the
+   members of a large bucket are dealt over parts of PART that each get the centres: no task holds a whole bucket.
    Nothing is capped.
 
 Cases: null, empty or blank texts have the empty set and are linked with nothing; fewer words than a shingle make one
@@ -30,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import Scratch, WordHash, chunks, grams, kept, mix, split_all, texts, trimmed
@@ -41,6 +42,8 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: A shingle of this many open nodes, or fewer, is rare.
 RARE = 24
+#: Members of a bucket that meet its centres in one task.
+PART = 4096
 _ATTEMPTS = 1024
 
 
@@ -193,6 +196,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         enough = (100 + similarity) * F.least("m", "_m") >= similarity * (F.col("n") + F.col("_n"))
         return rows.join(of, "key").where(enough).select("key", "node", "n", "m", "label")
 
+    #: a member's place in an order of the bucket's own, from 0 to 1: a node is a centre at other times in other buckets
+    drawn = F.xxhash64("key", "node").cast("double") / 2.0**64 + 0.5
+
     while True:
         seen = waiting.join(labels, "node", "left").select("key", "node", "n", "m", F.coalesce("label", "node").alias("label"))
         seen = scratch.table(narrowed(seen))
@@ -218,12 +224,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             sifted = True
             continue
         centres *= 8
-        # an order of the bucket's own, so that a node has different centres in different buckets
-        place = F.row_number().over(W.partitionBy("key").orderBy(F.col("node").bitwiseXOR(F.col("key"))))
-        middle = scratch.table(seen.withColumn("_p", place).where(F.col("_p") <= centres).drop("_p"))
-        others = seen.select("key", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("label").alias("_other"))
+        # about that many members of each bucket, and the first one always, so that every round closes on the end
+        crowd = seen.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min(drawn).alias("_first"))
+        middle = seen.join(crowd, "key").where((drawn * F.col("_c") < centres) | (drawn == F.col("_first")))
+        middle = scratch.table(middle.withColumn("_parts", F.ceil(F.col("_c") / PART).cast("int")).drop("_c", "_first"))
+        spread = middle.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        others = seen.join(crowd.select("key", F.ceil(F.col("_c") / PART).cast("int").alias("_k")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+        others = others.select("key", "part", F.col("node").alias("y"), F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("label").alias("_other"))
         fits = (100 + similarity) * F.least("m", "_m") >= similarity * (F.col("n") + F.col("_n"))
-        pairs = middle.join(others, "key").where((F.col("label") != F.col("_other")) & fits).select(F.col("node").alias("x"), "y")
+        pairs = spread.join(others, ["key", "part"]).where((F.col("label") != F.col("_other")) & fits).select(F.col("node").alias("x"), "y")
         compare(ordered(pairs))
         waiting = seen.join(middle.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "m")
     names = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
