@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import ast
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +41,28 @@ def over_at_least_one(a: Column, b: Column) -> Column:
     return a.cast("double") / F.greatest(F.lit(1), b)
 
 
+def round_half_even(x: np.ndarray, digits: int) -> np.ndarray:
+    """round() of Python for a whole array: scaled and rounded at once; only numbers so near a half that scaling may decide
+    wrongly are rounded one by one."""
+    scale = 10.0**digits
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = x * scale
+        out = np.rint(scaled) / scale
+        far = np.abs(scaled) >= 2.0**52
+        near = (np.abs(scaled - np.floor(scaled) - 0.5) <= 1e-9 * np.maximum(1.0, np.abs(scaled))) & np.isfinite(x)
+    for i in np.flatnonzero(near | (far & np.isfinite(x))):
+        out[i] = round(float(x[i]), digits)
+    return np.where(np.isfinite(x), out, x)
+
+
 def python_round(x: Column, digits: int) -> Column:
     """Half-even on the number's exact binary value: what SQL's rounding of decimal text cannot give."""
 
-    @F.pandas_udf("double")
-    def rounded(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if pd.isna(v) else round(v, digits))
+    @F.arrow_udf("double")
+    def rounded(column: pa.Array) -> pa.Array:
+        gone = np.asarray(column.is_null())
+        values = np.asarray(column.fill_null(0.0), np.float64)
+        return pa.array(round_half_even(values, digits), pa.float64(), mask=gone)
 
     return rounded(x.cast("double"))
 
@@ -91,11 +111,27 @@ def file_class(path: Column) -> Column:
     return F.when(name.startswith(".git"), "git").when(language(path).isNotNull(), "kept").otherwise("other")
 
 
+def is_extractable(path: Column) -> Column:
+    """Is a file taken out of a repository? Its extension is kept, and no .git stands anywhere in its directory's path."""
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    return language(path).isNotNull() & ~folder.contains(".git")
+
+
+def literal_json(text: str | None) -> str | None:
+    """A Python literal as JSON; null if it is none."""
+    try:
+        return json.dumps(ast.literal_eval(text.strip()), default=lambda x: sorted(x, key=str) if isinstance(x, set | frozenset) else str(x))
+    except (AttributeError, ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
+
+
 def safe_parse_json(text: Column, schema: str) -> Column:
-    """JSON by schema, or the same after a Python literal's quotes and constants are read as JSON; else null."""
-    plain = F.from_json(text, schema)
-    swapped = text
-    for a, b in ((r"'", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null")):
-        swapped = F.regexp_replace(swapped, a, b)
-    usable = F.try_parse_json(text).isNotNull() if hasattr(F, "try_parse_json") else F.lit(True)
-    return F.when(F.trim(text) == "", None).otherwise(F.when(usable, plain).otherwise(F.from_json(swapped, schema)))
+    """JSON by schema; text that is no JSON is read as a Python literal; else null. Only the latter text goes to Python."""
+
+    @F.arrow_udf("string")
+    def literals(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else literal_json(x) for x in column.to_pylist()], pa.string())
+
+    usable = F.try_parse_json(text).isNotNull()
+    other = F.when(~usable & (F.trim(text) != ""), text)
+    return F.when(F.trim(text) == "", None).when(usable, F.from_json(text, schema)).otherwise(F.from_json(literals(other), schema))

@@ -64,6 +64,20 @@ def class_metrics(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     return out.withColumn("lazy_ratio", over_at_least_one(F.col("attributes"), F.col("methods")))
 
 
+def _names_of(kind: str):  # noqa: ANN202
+    """The names that nodes of a kind hold, in the file's order."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pre", "names"))))
+    return F.flatten(F.transform(rows, lambda x: x["names"]))
+
+
+def class_rollup(classes: DataFrame) -> DataFrame:
+    """File figures over its classes: how many, their mean number of methods, and how many inherit and have a docstring."""
+    return classes.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("total_classes"), F.avg("methods").alias("average_methods_per_class"),
+        F.count_if("has_inheritance").alias("classes_with_inheritance"), F.count_if("has_docstring").alias("classes_with_docstring"),
+    )
+
+
 def file_structure(nodes: DataFrame) -> DataFrame:
     """Counts of one file's nodes, in one aggregation."""
     kind = F.col("kind")
@@ -78,6 +92,8 @@ def file_structure(nodes: DataFrame) -> DataFrame:
         F.count_if(kind.isin(*CONTROLS)).alias("controls"),
         F.coalesce(F.max(F.when(kind.isin(*CONTROLS), F.col("nesting"))), F.lit(0)).alias("max_nesting_level"),
         F.coalesce(F.sum(F.when(kind.isin("Import", "ImportFrom"), F.size("names"))), F.lit(0)).cast("long").alias("total_imports"),
+        _names_of("Import").alias("imports"),
+        _names_of("ImportFrom").alias("import_froms"),
         F.count_if(documented).alias("documented"),
         F.count_if(_is_def() | (kind == "ClassDef")).alias("documentable"),
         F.coalesce(F.sum(F.size(names)), F.lit(0)).cast("long").alias("identifiers"),
@@ -112,12 +128,23 @@ def mutations_outside_init(nodes: DataFrame) -> DataFrame:
 
 
 def global_usage(nodes: DataFrame) -> DataFrame:
-    """file_id, globals_declared, global_usages_total: names assigned at module level, and their uses inside defs (in nested ones once for each)."""
+    """file_id, globals_declared, global_usages_total, usage_per_name: names assigned at module level, and their uses inside
+    defs (in nested ones once for each). The map by name holds global statements too, of whatever name."""
     declared = nodes.where(F.col("kind").isin("Assign", "AnnAssign") & F.col("in_body") & (F.col("parent_kind") == "Module"))
-    declared = declared.select("file_id", F.explode("targets").alias("name")).distinct()
-    uses = nodes.where("kind = 'Name'").select("file_id", "name", F.size("fns").alias("depth")).where("depth > 0").groupBy("file_id", "name").agg(F.sum("depth").alias("uses"))
-    both = declared.join(uses, ["file_id", "name"], "left")
-    return both.groupBy("file_id").agg(F.count(F.lit(1)).alias("globals_declared"), F.coalesce(F.sum("uses"), F.lit(0)).cast("long").alias("global_usages_total"))
+    declared = declared.select("file_id", F.explode("targets").alias("name")).distinct().withColumn("declared", F.lit(True))
+    depth = F.size("fns").cast("long")
+    inside = nodes.where(F.size("fns") > 0)
+    uses = inside.where("kind = 'Name'").select("file_id", "name", depth.alias("uses"), F.lit(0).cast("long").alias("stated"))
+    stated = inside.where("kind = 'Global'").select("file_id", F.explode("names").alias("name"), F.lit(0).cast("long").alias("uses"), depth.alias("stated"))
+    found = uses.union(stated).groupBy("file_id", "name").agg(F.sum("uses").alias("uses"), F.sum("stated").alias("stated"))
+    both = declared.join(found, ["file_id", "name"], "full").fillna(False, ["declared"]).fillna(0, ["uses", "stated"])
+    n = F.when(F.col("declared"), F.col("uses")).otherwise(F.lit(0)) + F.col("stated")
+    each = F.when(n > 0, F.struct("name", n.alias("n")))
+    out = both.groupBy("file_id").agg(
+        F.count_if("declared").alias("globals_declared"), F.coalesce(F.sum(F.when(F.col("declared"), F.col("uses"))), F.lit(0)).cast("long").alias("global_usages_total"),
+        F.map_from_entries(F.array_sort(F.collect_list(each))).alias("usage_per_name"), F.bool_or(F.col("declared") | (F.col("stated") > 0)).alias("_any"),
+    )
+    return out.where("_any").drop("_any")
 
 
 def leading_comments(files: DataFrame, functions: DataFrame) -> DataFrame:

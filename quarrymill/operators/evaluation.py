@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions.core import safe_ratio
@@ -56,7 +57,16 @@ def vote(predictions: DataFrame, keys: list[str]) -> DataFrame:
 
 def files_by_label(predictions: DataFrame, key: str, shown: int = 200) -> DataFrame:
     """label, n, files: of the ids predicted 1 their number and the first ones, by id."""
-    from pyspark.sql import Window as W
-
-    hit = predictions.where("prediction = 1").withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(key)))
-    return hit.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= shown, F.col(key)))).alias("files"))
+    hit = predictions.where("prediction = 1")
+    counts = hit.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # the filter on the place lets each task keep its first ones only, so no label's rows meet as a whole
+    first = hit.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(key))).where(F.col("place") <= shown)
+    return counts.join(first.groupBy("label").agg(F.array_sort(F.collect_list(key)).alias("files")), "label").select("label", "n", "files")
+
+
+def generalisation_gap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
+    """One row: subset accuracy on training rows, on test rows, and the difference."""
+    rows = train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False)))
+    right = rows.groupBy(key, "_train").agg(F.bool_and(F.col("y") == F.col("p")).cast("int").alias("right"))
+    both = right.agg(F.avg(F.when(F.col("_train"), F.col("right"))).alias("train_accuracy"), F.avg(F.when(~F.col("_train"), F.col("right"))).alias("test_accuracy"))
+    return both.withColumn("gap", F.col("train_accuracy") - F.col("test_accuracy"))

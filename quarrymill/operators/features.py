@@ -26,6 +26,16 @@ def target_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("y_")]
 
 
+def feature_columns(df: DataFrame) -> list[str]:
+    """What models read: neither targets nor the path."""
+    return [c for c in df.columns if not c.startswith("y_") and c != "file_path"]
+
+
+def positional_split(df: DataFrame, n_features: int = 51) -> tuple[list[str], list[str]]:
+    """The first columns and the rest, as a dataset's order has them."""
+    return df.columns[:n_features], df.columns[n_features:]
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numbers that are no targets, by name."""
     return sorted(f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and not f.name.startswith("y_"))

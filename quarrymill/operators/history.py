@@ -85,6 +85,8 @@ def test_links(files: DataFrame) -> DataFrame:
                          F.size(lines).alias("n"), F.size(F.filter(lines, lambda x: x.rlike(r"^\s*def\s+test_"))).alias("fns"))
     sums = tests.groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("test_files_found"), F.sum("n").alias("test_lines"), F.sum("fns").alias("test_function_count"))
     own = files.select("file_id", "repo", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
-    named = own.join(tests.select("repo", "dir", "test_stem"), ["repo", "dir"]).where(F.contains("test_stem", "stem")).select("file_id").distinct().withColumn("unit_test_presence", F.lit(True))
-    out = own.join(sums, ["repo", "dir"], "left").join(named, "file_id", "left")
+    # names of a directory meet once, however many files and tests have them
+    stems, tested = own.select("repo", "dir", "stem").distinct(), tests.select("repo", "dir", "test_stem").distinct()
+    named = stems.join(tested, ["repo", "dir"]).where(F.contains("test_stem", "stem")).select("repo", "dir", "stem").distinct().withColumn("unit_test_presence", F.lit(True))
+    out = own.join(sums, ["repo", "dir"], "left").join(named, ["repo", "dir", "stem"], "left")
     return out.select("file_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("test_files_found", "test_lines", "test_function_count")], F.coalesce("unit_test_presence", F.lit(False)).alias("unit_test_presence"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -68,11 +69,11 @@ class MultiLabelModel:
         names = [*self.models, *self.constants]
         return out.withColumns({f"p_{n}": (F.col(f"prob_{n}") >= threshold).cast("int") for n in names}).drop("_features")
 
-    def importances(self) -> list[tuple[str, str, float]]:
-        """(label, feature, importance), most important first for each label."""
+    def importances(self, top: int | None = None) -> list[tuple[str, str, float]]:
+        """(label, feature, importance), most important first for each label; the top ones only, if said."""
         out = []
         for name, model in self.models.items():
-            out += sorted(((name, f, float(v)) for f, v in zip(self.features, model.featureImportances.toArray(), strict=True)), key=lambda x: -x[2])
+            out += sorted(((name, f, float(v)) for f, v in zip(self.features, model.featureImportances.toArray(), strict=True)), key=lambda x: (-x[2], x[1]))[:top]
         return out
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -90,6 +91,36 @@ class MultiLabelModel:
         return MultiLabelModel(meta["features"], models, meta["constants"])
 
 
+def saved(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the models that were saved in a folder, in order. Two or more of them can vote."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(files):
+        return []
+    meta = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(x.getPath().getName() for x in fs.listStatus(files) if x.isDirectory() and fs.exists(meta(x.getPath(), "_meta")))
+
+
+def load_saved(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, MultiLabelModel]:
+    """The named models of a folder, or all."""
+    return {n: MultiLabelModel.load(spark, f"{folder.rstrip('/')}/{n}") for n in (names if names is not None else saved(spark, folder))}
+
+
+def rename_params(params: dict, prefix: str = "estimator__", add: bool = True) -> dict:
+    """Parameters by their names inside a wrapped model, or back: those without the prefix stay as they are."""
+    return {prefix + k if add else k.removeprefix(prefix): v for k, v in params.items()}
+
+
+def of_repository(rows: DataFrame, repo: str, strict: bool = False) -> DataFrame:
+    """Rows of one repository: whose path matches its name as a pattern, or (strict) whose column repo is it."""
+    return rows.where(F.col("repo") == repo) if strict else rows.where(F.col("file_path").rlike(repo))
+
+
+def predict_repository(rows: DataFrame, repo: str, key: str, models: dict[str, MultiLabelModel], labels: list[str], strict: bool = False) -> DataFrame:
+    """(key, label, prediction) of one repository's rows: of the one model, or the vote of several."""
+    return ensemble(of_repository(rows, repo, strict), key, models, labels)
+
+
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(df)
 
@@ -165,7 +196,7 @@ def ensemble(df: DataFrame, key: str, models: dict[str, MultiLabelModel], labels
             got = m.predict(df)
             each = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"p_{n}").alias("prediction")) for n in labels])
             parts.append(got.select(key, F.lit(name).alias("model"), F.explode(each).alias("r")).select(key, "model", "r.*"))
-        except Exception as e:  # one unusable model should not stop the others
+        except (AnalysisException, IllegalArgumentException) as e:  # columns that it needs are missing, or of another type
             warn(f"{name} is left out: {e}")
     if not parts:
         raise ValueError("no model could be applied")

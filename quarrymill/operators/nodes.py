@@ -31,16 +31,16 @@ DDL = ", ".join(
 
 
 def dotted(func: ast.AST) -> str | None:
-    """a.b.c for a chain of attributes; without its root if that is no name; null for other calls."""
-    parts = []
-    while isinstance(func, ast.Attribute):
-        parts.append(func.attr)
-        func = func.value
-    if isinstance(func, ast.Name):
-        parts.append(func.id)
-    elif not parts:
-        return None
-    return ".".join(reversed(parts))
+    """The name that a call goes by: a name is itself, an attribute is what it belongs to, a dot and its own name, or its
+    own name alone where it belongs to something without a name; other calls have none."""
+    match func:
+        case ast.Name(id=name):
+            return name
+        case ast.Attribute(value=ast.Name() | ast.Attribute() as owner, attr=name):
+            return f"{dotted(owner)}.{name}"
+        case ast.Attribute(attr=name):
+            return name
+    return None
 
 
 def _facts(node: ast.AST) -> dict:

@@ -7,66 +7,38 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.core import safe_ratio
 from quarrymill.operators.astmetrics import last_wins
+from quarrymill.operators.graphs import inheritance_depth, longest_paths
+from quarrymill.operators.kept import keep
 from quarrymill.operators.nodes import DEFS
 
-MAX_DEPTH = 90
-
-
-def longest_paths(edges: DataFrame, starts: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """edges (keys, src, dst) and starts (keys, node) -> keys, node, depth: edges of the longest simple path from each node.
-
-    Paths grow by one edge each round, in one recursive query; a path doesn't visit a node twice, and none is longer
-    than max_depth. On graphs without cycles this is the longest path."""
-    spark = edges.sparkSession
-    # each round reads the edges again: they are made once
-    edges.select(*keys, "src", "dst").distinct().persist().createOrReplaceTempView("_lp_edges")
-    starts.select(*keys, "node").distinct().persist().createOrReplaceTempView("_lp_starts")
-    k = "".join(f"{c}, " for c in keys)
-    on = " AND ".join([f"e.{c} = p.{c}" for c in keys] + ["e.src = p.at"])
-    pk = "".join(f"p.{c}, " for c in keys)
-    walked = spark.sql(f"""
-        WITH RECURSIVE p({k} node, at, depth, path) AS (
-            SELECT {k} node, node, 0, array(node) FROM _lp_starts
-            UNION ALL
-            SELECT {pk} p.node, e.dst, p.depth + 1, concat(p.path, array(e.dst)) FROM p JOIN _lp_edges e ON {on}
-            WHERE NOT array_contains(p.path, e.dst) AND p.depth < {max_depth}
-        ) SELECT {k} node, max(depth) AS depth FROM p GROUP BY {k} node""")
-    return walked
-
-
 def top_classes(nodes: DataFrame) -> DataFrame:
     """file_id, cls, class_name, bases: module-level classes; of equal names the last."""
     rows = nodes.where("kind = 'ClassDef' AND in_body AND parent_kind = 'Module'").select("file_id", F.col("pre").alias("cls"), F.col("name").alias("class_name"), "bases")
     return last_wins(rows, ["file_id", "class_name"], "cls")
 
 
-def inheritance_depth(classes: DataFrame) -> DataFrame:
-    """file_id, class_name, dit: steps to the farthest base; a base that the file doesn't define is one step."""
-    bases = classes.select("file_id", F.col("class_name").alias("src"), F.explode("bases").alias("dst"))
-    known = classes.select("file_id", F.col("class_name").alias("dst"))
-    inner = bases.join(known, ["file_id", "dst"])
-    outer = bases.join(known, ["file_id", "dst"], "left_anti").select("file_id", "src", F.lit("\0outside").alias("dst"))
-    again = inner.where("src = dst").select("file_id", "src", F.lit("\0itself").alias("dst"))
-    edges = inner.where("src <> dst").select("file_id", "src", "dst").union(outer.select("file_id", "src", "dst")).union(again)
-    found = longest_paths(edges, classes.select("file_id", F.col("class_name").alias("node")), ["file_id"])
-    return found.select("file_id", F.col("node").alias("class_name"), F.col("depth").alias("dit"))
+def cohesion_pairs(methods: DataFrame, keys: list[str], order: str, fields: str) -> DataFrame:
+    """keys, pairs, lcom: of the pairs of a class's methods the number, and the share without a field in common."""
+    a, b = methods.alias("a"), methods.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    both = a.join(b, [*same, F.col(f"a.{order}") < F.col(f"b.{order}")])
+    apart = (~F.arrays_overlap(f"a.{fields}", f"b.{fields}")).cast("int")
+    return both.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("pairs"), F.avg(apart).alias("lcom"))
 
 
 def oo_metrics(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """One row for each top-level class: methods, public_methods, wmc, lcom, rfc, tna, cbo, dit."""
-    classes = top_classes(nodes).persist()  # classes and methods are read by every figure below
+    classes = keep(top_classes(nodes))  # classes and methods are read by every figure below
     key = ["file_id", "cls"]
-    methods = functions.where("is_method").select("file_id", F.col("parent").alias("cls"), "fn", "name", "cyclomatic_complexity", "calls_made").join(classes.select(*key, "class_name"), key).persist()
+    methods = keep(functions.where("is_method").select("file_id", F.col("parent").alias("cls"), "fn", "name", "cyclomatic_complexity", "calls_made").join(classes.select(*key, "class_name"), key))
     counts = methods.groupBy(*key).agg(F.count(F.lit(1)).alias("methods"), F.count_if(~F.col("name").startswith("_")).alias("public_methods"), F.sum("cyclomatic_complexity").alias("wmc"))
     # what a method reads of self; a name's last definition speaks for all of that name
     own = nodes.where("kind = 'Attribute' AND base = 'self'").select("file_id", F.explode("fns").alias("fn"), F.col("name").alias("field"))
     read = own.groupBy("file_id", "fn").agg(F.collect_set("field").alias("fields"))
-    by_name = last_wins(methods.select(*key, "fn", "name", "calls_made"), [*key, "name"], "fn").join(read, ["file_id", "fn"], "left").persist()
+    by_name = keep(last_wins(methods.select(*key, "fn", "name", "calls_made"), [*key, "name"], "fn").join(read, ["file_id", "fn"], "left"))
     fields = by_name.select(*key, "name", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
     each = methods.select(*key, "fn", "name").join(fields, [*key, "name"])
-    a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.cls") == F.col("b.cls")) & (F.col("a.fn") < F.col("b.fn")))
-    lcom = pairs.groupBy(F.col("a.file_id").alias("file_id"), F.col("a.cls").alias("cls")).agg(F.avg((~F.arrays_overlap("a.fields", "b.fields")).cast("int")).alias("lcom"))
+    lcom = cohesion_pairs(each, key, "fn", "fields").drop("pairs")
     names = methods.groupBy(*key).agg(F.collect_set("name").alias("method_names"))
     calls = by_name.select(*key, F.explode("calls_made").alias("call")).distinct().join(names, key)
     outside = ~(F.col("call").contains(".") & F.array_contains("method_names", F.element_at(F.split("call", r"\."), -1))) & ~F.array_contains("method_names", F.col("call"))
@@ -147,14 +119,18 @@ def fan_counts(names: DataFrame, edges: DataFrame, keys: list[str] = ["file_id"]
 
 
 def call_graph(nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """One row for each file with functions: density, depth and what it calls in other modules."""
-    named = qualified(nodes, functions).persist()  # edges, names and callers are read from it
+    """One row for each file with functions: density, depth and what it calls in other modules: pairs of caller and
+    module in the callers' order, the modules of each caller (cross_module_calls) and of all (modules_called), by name."""
+    named = keep(qualified(nodes, functions))  # edges, names and callers are read from it
     edges, cross = resolve_calls(named)
     names = named.select("file_id", F.col("qual").alias("node"))
-    depth = longest_paths(edges, names, ["file_id"]).groupBy("file_id").agg(F.max("depth").cast("long").alias("max_intra_file_call_depth"))
+    ordered = named.select("file_id", F.col("qual").alias("node"), F.col("fn").alias("at"))
+    depth = longest_paths(edges, ordered, ["file_id"]).groupBy("file_id").agg(F.max("depth").cast("long").alias("max_intra_file_call_depth"))
     first = named.select("file_id", F.col("qual").alias("caller"), F.col("fn").alias("at"))
     listed = F.array_sort(F.collect_list(F.struct("at", "module", "caller")))
+    calls = cross.groupBy("file_id", "caller").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+    calls = calls.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("caller", "modules")))).alias("cross_module_calls"))
     outside = cross.join(first, ["file_id", "caller"]).groupBy("file_id").agg(
-        F.count_distinct("module").alias("inter_file_coupling"), F.transform(listed, lambda x: F.struct(x["caller"].alias("caller"), x["module"].alias("module"))).alias("cross_file_call_edges")
+        F.count_distinct("module").alias("inter_file_coupling"), F.array_sort(F.collect_set("module")).alias("modules_called"), F.transform(listed, lambda x: F.struct(x["caller"].alias("caller"), x["module"].alias("module"))).alias("cross_file_call_edges")
     )
-    return graph_metrics(names, edges).withColumnRenamed("density", "call_graph_density").join(depth, "file_id", "left").join(outside, "file_id", "left")
+    return graph_metrics(names, edges).withColumnRenamed("density", "call_graph_density").join(depth, "file_id", "left").join(outside, "file_id", "left").join(calls, "file_id", "left")

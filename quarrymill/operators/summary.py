@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.core import over_at_least_one, python_round
 from quarrymill.operators import astmetrics, features, history, labels, nodes, objects, textmetrics
+from quarrymill.operators.kept import keep
 
 #: Digits of the rounded columns. Rules read rounded figures.
 ROUNDED = {"comment_percentage": 1, "average_cyclomatic_complexity": 2, "nesting_variance": 3, "decision_density": 4, "boolean_expression_avg_terms": 2, "call_graph_density": 4,
@@ -19,19 +19,20 @@ ROUNDED = {"comment_percentage": 1, "average_cyclomatic_complexity": 2, "nesting
 def analyze(files: DataFrame, commits: DataFrame | None = None, changes: DataFrame | None = None, mode: str = "parity", rounded: bool = True) -> DataFrame:
     """(file_id, repo, path, content, status) -> the summary, 65 columns and file_id.
 
-    Files are dealt by file_id and parsed once; their nodes are kept while the metrics are joined. A file that can't be
+    Files are dealt by file_id and parsed once; their nodes are kept while the metrics are joined, until kept.release() is
+    called. A file that can't be
     decoded or parsed has no row. strict gives class line figures, which parity leaves at 0."""
     good = files.where("status = 'ok'") if "status" in files.columns else files
-    tree = nodes.parse(nodes.spread(good)).persist(StorageLevel.MEMORY_AND_DISK)
+    tree = keep(nodes.parse(nodes.spread(good)))
     structure = astmetrics.file_structure(tree).where("NOT failed")
-    functions = astmetrics.function_metrics(tree).persist(StorageLevel.MEMORY_AND_DISK)
+    functions = keep(astmetrics.function_metrics(tree))
     ranged = good.join(structure.select("file_id", "doc_ranges"), "file_id")
     lines = textmetrics.line_metrics(ranged)
     out = good.select("file_id", F.col("path").alias("file_path")).join(structure.drop("doc_ranges", "failed"), "file_id").join(lines, "file_id")
     classes = objects.oo_metrics(tree, functions)
     parts = [
-        astmetrics.function_rollup(functions), objects.oo_rollup(classes).drop("average_inheritance_depth", "average_wmc", "average_cbo", "max_wmc"), objects.call_graph(tree, functions),
-        astmetrics.mutations_outside_init(tree), astmetrics.global_usage(tree), astmetrics.comment_mismatch(good, functions), textmetrics.style_violations(good),
+        astmetrics.function_rollup(functions), objects.oo_rollup(classes).drop("average_inheritance_depth", "average_wmc", "average_cbo", "max_wmc"), objects.call_graph(tree, functions).drop("cross_module_calls", "modules_called"),
+        astmetrics.mutations_outside_init(tree), astmetrics.global_usage(tree).drop("usage_per_name"), astmetrics.comment_mismatch(good, functions), textmetrics.style_violations(good),
         textmetrics.todo_metrics(good), history.test_links(files),
     ]
     if mode == "strict":

@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions import core
-from quarrymill.operators import astmetrics, evaluation, features, history, labels, models, nodes, objects, textmetrics
+from quarrymill.operators import astmetrics, evaluation, features, graphs, history, labels, models, nodes, objects, textmetrics
+from quarrymill.operators.kept import keep
 from quarrymill.plans.template import SQL_NUMBERS, template_files
+from quarrymill.sources import datasets, repos
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,7 +146,7 @@ def halstead_like(spark: SparkSession, d: str) -> DataFrame:
 def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Files and their nodes: dealt by file, parsed once, kept while a query's parts are joined."""
     files = template_files(_t(spark, d, "part"))
-    return files, nodes.parse(nodes.spread(files)).persist()
+    return files, keep(nodes.parse(nodes.spread(files)))
 
 
 def _tpl(select: str) -> str:
@@ -188,6 +190,11 @@ def tpl_imports(spark: SparkSession, d: str) -> DataFrame:
     return astmetrics.file_structure(_tree(spark, d)[1]).select("file_id", "total_imports")
 
 
+@query(_tpl("""SELECT file_id, 'os,sys' AS imports, array_to_string(list_transform(range(0, k), lambda i: 'pkg.a' || i), ',') AS import_froms FROM tpl"""))
+def tpl_import_names(spark: SparkSession, d: str) -> DataFrame:
+    return astmetrics.file_structure(_tree(spark, d)[1]).select("file_id", F.array_join("imports", ",").alias("imports"), F.array_join("import_froms", ",").alias("import_froms"))
+
+
 @query(_tpl("SELECT file_id, nf * ni AS bool_ops, 2 * nf * ni AS bool_terms, 2.0::DOUBLE AS avg_terms FROM tpl"))
 def tpl_bool(spark: SparkSession, d: str) -> DataFrame:
     f = astmetrics.function_metrics(_tree(spark, d)[1]).groupBy("file_id").agg(F.sum("bool_ops").alias("bool_ops"), F.sum("bool_terms").alias("bool_terms"))
@@ -196,7 +203,12 @@ def tpl_bool(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_tpl("SELECT file_id, 1::BIGINT AS globals_declared, nf * ni AS global_usages_total FROM tpl"))
 def tpl_globals(spark: SparkSession, d: str) -> DataFrame:
-    return astmetrics.global_usage(_tree(spark, d)[1])
+    return astmetrics.global_usage(_tree(spark, d)[1]).select("file_id", "globals_declared", "global_usages_total")
+
+
+@query(_tpl("SELECT file_id, 'LIMIT' AS name, nf * ni AS uses FROM tpl"))
+def tpl_global_names(spark: SparkSession, d: str) -> DataFrame:
+    return astmetrics.global_usage(_tree(spark, d)[1]).select("file_id", F.explode("usage_per_name").alias("name", "uses"))
 
 
 @query(_tpl(f"""SELECT file_id, {LOC} AS loc, 1 + nf * doc AS dloc, {LOC} - 2 - nf * doc AS sloc, 1::BIGINT AS blank_lines FROM tpl"""))
@@ -230,7 +242,7 @@ def tpl_identifiers(spark: SparkSession, d: str) -> DataFrame:
 @query(_tpl("""SELECT file_id, nc AS classes, 2 * nc AS methods, nc AS attributes, 6::BIGINT AS line_count, nc - 1 AS derived, 0::BIGINT AS external_calls FROM tpl"""))
 def tpl_classes(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)[1]
-    c = astmetrics.class_metrics(tree, astmetrics.function_metrics(tree).persist())
+    c = astmetrics.class_metrics(tree, keep(astmetrics.function_metrics(tree)))
     return c.groupBy("file_id").agg(F.count(F.lit(1)).alias("classes"), F.sum("methods").alias("methods"), F.sum("attributes").alias("attributes"), F.max("line_count").cast("long").alias("line_count"),
                                     F.count_if("has_inheritance").alias("derived"), F.sum("external_calls").alias("external_calls"))
 
@@ -239,7 +251,7 @@ def tpl_classes(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, unnest(range(0, nc)) AS c FROM tpl)"""))
 def tpl_oo(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)[1]
-    return objects.oo_metrics(tree, astmetrics.function_metrics(tree).persist()).select("file_id", "class_name", "methods", "public_methods", "wmc", "lcom", "rfc", "tna", "cbo", F.col("dit").cast("long").alias("dit"))
+    return objects.oo_metrics(tree, keep(astmetrics.function_metrics(tree))).select("file_id", "class_name", "methods", "public_methods", "wmc", "lcom", "rfc", "tna", "cbo", F.col("dit").cast("long").alias("dit"))
 
 
 @query(_tpl("SELECT file_id, nc AS attribute_mutations_outside_init FROM tpl"))
@@ -251,10 +263,31 @@ def tpl_mutation(spark: SparkSession, d: str) -> DataFrame:
     1::BIGINT AS inter_file_coupling, nf AS cross_calls FROM tpl"""))
 def tpl_callgraph(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)[1]
-    g = objects.call_graph(tree, astmetrics.function_metrics(tree).persist())
+    g = objects.call_graph(tree, keep(astmetrics.function_metrics(tree)))
     return g.select("file_id", "nodes", "edges", _r("call_graph_density", 8), "max_intra_file_call_depth", "inter_file_coupling", F.size("cross_file_call_edges").cast("long").alias("cross_calls"))
 
 
+@query(_tpl("SELECT file_id, 'f' || i AS caller, 'os' AS modules, 'os' AS modules_called FROM (SELECT *, unnest(range(0, nf)) AS i FROM tpl)"))
+def tpl_cross_map(spark: SparkSession, d: str) -> DataFrame:
+    tree = _tree(spark, d)[1]
+    g = objects.call_graph(tree, keep(astmetrics.function_metrics(tree)))
+    rows = g.select("file_id", F.explode("cross_module_calls").alias("caller", "modules"), "modules_called")
+    return rows.select("file_id", "caller", F.array_join("modules", ",").alias("modules"), F.array_join("modules_called", ",").alias("modules_called"))
+
+
+@query(_tpl("SELECT file_id, nc AS total_classes, 2.0::DOUBLE AS average_methods_per_class, nc - 1 AS classes_with_inheritance, 0::BIGINT AS classes_with_docstring FROM tpl"))
+def tpl_class_rollup(spark: SparkSession, d: str) -> DataFrame:
+    tree = _tree(spark, d)[1]
+    return astmetrics.class_rollup(astmetrics.class_metrics(tree, keep(astmetrics.function_metrics(tree))))
+
+
+@query("""SELECT count(*)::BIGINT AS scanned_files, (count(*) FILTER (p_partkey % 10 IN (0, 3)))::BIGINT AS errors, (count(*) FILTER (p_partkey % 10 NOT IN (0, 3)))::BIGINT AS results FROM part""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    files = _t(spark, d, "part").select(k.cast("long").alias("file_id"), F.when(k % 10 == 0, "undecodable").otherwise("ok").alias("status"), F.when(k % 10 == 3, "def x(:").otherwise("x = 1").alias("content"))
+    return datasets.run_summary(files, nodes.parse(nodes.spread(files.where("status = 'ok'"))))
+
+
 # --- graphs and joins ----------------------------------------------------------------------------------------------
 
 EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
@@ -285,7 +318,7 @@ def callgraph_density(spark: SparkSession, d: str) -> DataFrame:
 def callgraph_depth(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part").select(F.lit(1).alias("g"), F.col("p_partkey").cast("long").alias("node"))
     e = p.where("node > 1").select("g", F.col("node").alias("src"), F.expr("node DIV 2").alias("dst"))
-    return objects.longest_paths(e, p, ["g"]).select("node", F.col("depth").cast("long").alias("depth"))
+    return graphs.longest_paths(e, p, ["g"]).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN -1 WHEN s_suppkey > 3 THEN s_suppkey // 3 END AS base FROM supplier),
@@ -296,7 +329,7 @@ def inheritance_depth(spark: SparkSession, d: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("C"), c.cast("string"))
     base = F.when(k % 7 == 0, F.array(F.lit("elsewhere"))).when(k > 3, F.array(name(F.expr("s_suppkey DIV 3")))).otherwise(F.array().cast("array<string>"))
     classes = _t(spark, d, "supplier").select(F.lit(1).alias("file_id"), name(k).alias("class_name"), base.alias("bases"))
-    return objects.inheritance_depth(classes).select("class_name", F.col("dit").cast("long").alias("dit"))
+    return graphs.inheritance_depth(classes).select("class_name", F.col("dit").cast("long").alias("dit"))
 
 
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, [l_suppkey % 5, l_partkey % 5] AS f FROM lineitem)
@@ -304,35 +337,52 @@ def inheritance_depth(spark: SparkSession, d: str) -> DataFrame:
     FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey""")
 def lcom_pairs(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5).alias("f"))
-    a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
-    return pairs.groupBy(F.col("a.l_orderkey").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg((~F.arrays_overlap("a.f", "b.f")).cast("int")), 6).alias("lcom"))
+    return objects.cohesion_pairs(m, ["l_orderkey"], "l_linenumber", "f").select("l_orderkey", "pairs", _r("lcom"))
+
 
+_CALLS = """f AS (SELECT o_orderkey // 50 AS file_id, 'f' || o_orderkey AS qual, ['f' || (o_orderkey + 1), 'mod' || (o_custkey % 3) || '.run', 'self.x'] AS calls FROM orders),
+    c AS (SELECT file_id, qual, unnest(calls) AS call FROM f),
+    k AS (SELECT c.*, t.qual IS NOT NULL AS known FROM c LEFT JOIN f t ON t.file_id = c.file_id AND t.qual = c.call)"""
 
-@query("SELECT count(*)::BIGINT AS n, sum(o_totalprice)::DECIMAL(18,2)::DOUBLE AS total FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal > 0)")
+
+def _calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    made = F.array(name(k + 1), F.concat(F.lit("mod"), (F.col("o_custkey") % 3).cast("string"), F.lit(".run")), F.lit("self.x"))
+    rows = _t(spark, d, "orders").select(F.expr("o_orderkey DIV 50").alias("file_id"), name(k).alias("qual"), F.lit(None).cast("string").alias("class_name"), made.alias("calls_made"))
+    return objects.resolve_calls(rows)
+
+
+@query(f"""WITH {_CALLS} SELECT DISTINCT file_id, qual AS caller, string_split(call, '.')[1] AS module FROM k WHERE NOT known AND contains(call, '.') AND NOT starts_with(call, 'self.')""")
 def cross_calls(spark: SparkSession, d: str) -> DataFrame:
-    mine = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    left = _t(spark, d, "orders").join(mine, "o_custkey", "left_anti")
-    return left.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").cast("decimal(18,2)").cast("double").alias("total"))
+    return _calls(spark, d)[1]
+
+
+@query(f"WITH {_CALLS} SELECT DISTINCT file_id, qual AS src, call AS dst FROM k WHERE known")
+def inner_calls(spark: SparkSession, d: str) -> DataFrame:
+    return _calls(spark, d)[0]
+
+
+_URLS = "SELECT o_orderkey AS id, 'https://host/x/r' || o_orderkey || '.git' AS clone_url, (o_totalprice * 100)::BIGINT AS stargazers_count FROM orders"
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
-def semi_methods(spark: SparkSession, d: str) -> DataFrame:
-    some = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return _t(spark, d, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey")
+def _repos(spark: SparkSession, d: str) -> DataFrame:
+    url = F.concat(F.lit("https://host/x/r"), F.col("o_orderkey").cast("string"), F.lit(".git"))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), url.alias("clone_url"), F.round(F.col("o_totalprice") * 100).cast("long").alias("stargazers_count"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"SELECT id, 'r' || id AS repo FROM ({_URLS}) WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def anti_existing(spark: SparkSession, d: str) -> DataFrame:
-    there = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(spark, d, "customer").join(there, "c_custkey", "left_anti").select("c_custkey")
+    there = _t(spark, d, "lineitem").where("l_quantity > 25").select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("repo"))
+    return repos.to_fetch(_repos(spark, d), there).select("id", "repo")
 
 
-@query("""WITH f AS (SELECT c_custkey, [c_nationkey % 5, c_custkey % 5] AS a, [c_nationkey % 3, 7] AS b FROM customer)
-    SELECT c_custkey, len(list_distinct(list_concat(a, b)))::INT AS n_union, len(list_intersect(a, b))::INT AS n_common, list_has_any(a, b) AS overlaps FROM f""")
-def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    f = _t(spark, d, "customer").select("c_custkey", F.array(F.col("c_nationkey") % 5, F.col("c_custkey") % 5).alias("a"), F.array(F.col("c_nationkey") % 3, F.lit(7)).alias("b"))
-    return f.select("c_custkey", F.size(F.array_union("a", "b")).alias("n_union"), F.size(F.array_intersect("a", "b")).alias("n_common"), F.arrays_overlap("a", "b").alias("overlaps"))
+@query("""WITH f AS (SELECT c_custkey, [c_nationkey % 5 + 10, c_custkey % 5 + 10, 7] AS a, [c_nationkey % 3 + 10, 7] AS b FROM customer)
+    SELECT c_custkey, round(1 - len(list_intersect(list_distinct(a), b)) / len(list_distinct(a)), 6) AS mismatch FROM f""")
+def set_overlap(spark: SparkSession, d: str) -> DataFrame:
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    f = _t(spark, d, "customer").select("c_custkey", F.array_distinct(F.array(n % 5 + 10, k % 5 + 10, F.lit(7))).alias("a"), F.array(n % 3 + 10, F.lit(7)).alias("b"))
+    return f.select("c_custkey", F.round(core.overlap_mismatch(F.col("a"), F.col("b")), 6).alias("mismatch"))
 
 
 # --- history -------------------------------------------------------------------------------------------------------
@@ -366,14 +416,16 @@ def cochange_top10(spark: SparkSession, d: str) -> DataFrame:
     return history.top_coupled(history.cochanges(_t(spark, d, "lineitem"), "l_orderkey", "l_suppkey"), "l_suppkey")
 
 
-@query("""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages), x AS (SELECT page_id, path, string_split(path, '/') AS p FROM f),
-    t AS (SELECT page_id, unnest(list_transform(range(0, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS dir FROM x WHERE page_id % 5 = 0)
-    SELECT x.page_id, count(t.page_id)::BIGINT AS tests_below FROM x LEFT JOIN t ON t.dir = array_to_string(p[1:len(p) - 1], '/') GROUP BY x.page_id""")
+@query("""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE WHEN page_id % 5 = 0 THEN '/test_' || page_id % 7 || '.py' ELSE '/' || page_id % 3 || '.py' END AS path FROM pages),
+    x AS (SELECT page_id, string_split(path, '/') AS p, array_to_string(p[1:len(p) - 1], '/') AS own, regexp_replace(p[-1], '[.]py$', '') AS stem FROM f),
+    t AS (SELECT page_id, stem, unnest(list_transform(range(0, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS dir FROM x WHERE page_id % 5 = 0)
+    SELECT x.page_id, count(t.page_id)::BIGINT AS test_files_found, (2 * count(t.page_id))::BIGINT AS test_lines, count(t.page_id)::BIGINT AS test_function_count,
+        coalesce(bool_or(contains(t.stem, x.stem)), false) AS unit_test_presence FROM x LEFT JOIN t ON t.dir = x.own GROUP BY x.page_id""")
 def tests_prefix_join(spark: SparkSession, d: str) -> DataFrame:
-    f = _t(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
-    below = f.where("page_id % 5 = 0").select(F.explode(history.directories(F.col("path"))).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
-    own = f.select("page_id", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"))
-    return own.join(below, "dir", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("tests_below"))
+    k = F.col("page_id")
+    name = F.when(k % 5 == 0, F.concat(F.lit("/test_"), (k % 7).cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("/"), (k % 3).cast("string"), F.lit(".py")))
+    files = _t(spark, d, "pages").select(k.alias("file_id"), F.lit("r").alias("repo"), F.concat(F.regexp_replace("url", "^https?://", ""), name).alias("path"), F.lit("def test_a():\n    pass\n").alias("content"))
+    return history.test_links(files).withColumnRenamed("file_id", "page_id")
 
 
 # --- acquisition ---------------------------------------------------------------------------------------------------
@@ -404,9 +456,14 @@ def ext_lookup(spark: SparkSession, d: str) -> DataFrame:
     x AS (SELECT *, CASE WHEN starts_with(string_split(path, '/')[-1], '.git') THEN 'git' WHEN lower(regexp_extract(path, '[^/.](\\.[^./]*)$', 1)) IN ('.py', '.java', '.cpp', '.cc', '.cxx', '.h', '.hpp') THEN 'kept' ELSE 'other' END AS class FROM f),
     n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY path) AS r FROM x) SELECT class, count(*)::BIGINT AS n, string_agg(path, '|' ORDER BY path) FILTER (r <= 20) AS examples FROM n GROUP BY class""")
 def three_way(spark: SparkSession, d: str) -> DataFrame:
-    x = _paths(spark, d).withColumn("class", core.file_class(F.col("path")))
-    x = x.withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("path")))
-    return x.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 20, F.col("path")))), "|").alias("examples"))
+    return repos.file_classes(_paths(spark, d)).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query(f"""WITH f AS (SELECT p_partkey, {_PATH} || CASE WHEN p_partkey % 11 = 0 THEN '/.github/a.py' ELSE '' END AS path FROM part)
+    SELECT p_partkey, regexp_matches(lower(path), '[^/.][.](py|java|cpp|cc|cxx|h|hpp)$') AND NOT contains(regexp_replace(path, '/?[^/]*$', ''), '.git') AS extracted FROM f""")
+def extract_filter(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("p_partkey") % 11 == 0, F.regexp_replace("path", "/.gitignore$", "/.github/a.py")).otherwise(F.col("path"))
+    return _paths(spark, d).select("p_partkey", core.is_extractable(path).alias("extracted"))
 
 
 @query("""SELECT event_id, json_keys(props)[1] AS first_key, len(json_keys(props))::INT AS n_keys FROM events WHERE props IS NOT NULL""")
@@ -415,13 +472,14 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").where("props IS NOT NULL").select("event_id", F.element_at(keys, 1).alias("first_key"), F.size(keys).alias("n_keys"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_custkey END::BIGINT AS a, CASE WHEN o_orderkey % 4 IN (2, 3) THEN NULL ELSE (o_orderkey % 4 = 0) END AS b FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (3, 5) THEN NULL ELSE o_custkey END::BIGINT AS a, CASE WHEN o_orderkey % 6 IN (2, 3, 5) THEN NULL ELSE o_orderkey % 6 IN (0, 4) END AS b,
+    CASE o_orderkey % 6 WHEN 1 THEN 'True story, isn''t it' WHEN 4 THEN 'None of it' END AS c FROM orders""")
 def safe_parse(spark: SparkSession, d: str) -> DataFrame:
-    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    text = F.when(k % 4 == 0, F.concat(F.lit('{"a": '), c, F.lit(', "b": true}'))).when(k % 4 == 1, F.concat(F.lit("{'a': "), c, F.lit(", 'b': False}")))
-    text = text.when(k % 4 == 2, F.concat(F.lit("{'a': "), c, F.lit(", 'b': None}"))).otherwise(F.lit(""))
-    parsed = _t(spark, d, "orders").select("o_orderkey", core.safe_parse_json(text, "a bigint, b boolean").alias("p"))
-    return parsed.select("o_orderkey", "p.a", "p.b")
+    c = F.col("o_custkey").cast("string")
+    forms = ['{"a": #, "b": true}', """{'a': #, 'b': False, 'c': "True story, isn't it"}""", "{'a': #, 'b': None}", "", "{'a': #, 'b': True, 'c': 'None of it'}", "no literal {"]
+    form = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    parsed = _t(spark, d, "orders").select("o_orderkey", core.safe_parse_json(F.replace(form, F.lit("#"), c), "a bigint, b boolean, c string").alias("p"))
+    return parsed.select("o_orderkey", "p.a", "p.b", "p.c")
 
 
 # --- rules and features ---------------------------------------------------------------------------------------------
@@ -449,16 +507,34 @@ def _figures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LABELS = ", ".join(f"CASE WHEN commit_bursts IS NULL THEN 0 WHEN {c} THEN 1 ELSE 0 END::INT AS y_{n}" for n, _, c in labels.RULES)
-
-
-@query(f"WITH {_FIGURES} SELECT c_custkey, {_LABELS} FROM f")
+#: The thirteen rules once more, in SQL of their own. A record without commit bursts has no label.
+_RULES_SQL = """SELECT c_custkey, commit_bursts IS NULL AS void,
+        functions > 0 AND (max_lines_per_function > 50 OR max_cyclomatic_ratio > 0.5 OR max_nesting_level > 4) AS LongMethod,
+        functions > 0 AND (large_parameter_list_indicator OR mean_param_entropy > 2.0) AS LargeParameterList,
+        classes > 0 AND average_methods_per_class < 2 AND mean_lines_per_class < 50 AS LazyClass,
+        classes > 0 AND (inter_file_coupling > 20 OR n_cross_calls > 15 OR average_cyclomatic_complexity > 15) AS GodClass,
+        functions > 0 AND (average_cyclomatic_complexity > 10 OR nesting_variance > 1.5) AS SpaghettiCode,
+        lines_of_code > 20 AND (documentation_coverage < 20 OR comment_percentage < 5) AS PoorDocumentation,
+        comment_code_mismatch_score > 0.7 AS MisleadingComments,
+        globals_declared > 3 OR global_usages_total > 10 AS GlobalStateAbuse,
+        functions > 0 AND (external_vs_internal_field_access_ratio > 3 OR n_cross_calls > 10) AS FeatureEnvy,
+        commit_bursts > 3 AND inter_file_coupling > 10 AS ShotgunSurgery,
+        pep8_violations > 5 OR irregularity_score > 1.0 AS FormattingIssues,
+        lines_of_code > 50 AND NOT unit_test_presence AS UntestedCode,
+        commit_bursts > 5 OR lines_added > 500 AS UnstableModule
+    FROM f"""
+_Y = "CASE WHEN NOT void AND {0} THEN 1 ELSE 0 END::INT"
+_NAMES = ["LongMethod", "LargeParameterList", "LazyClass", "GodClass", "SpaghettiCode", "PoorDocumentation", "MisleadingComments", "GlobalStateAbuse", "FeatureEnvy", "ShotgunSurgery", "FormattingIssues", "UntestedCode", "UnstableModule"]
+_VECTOR = ["LongMethod", "LargeParameterList", "GodClass", "LazyClass", "SpaghettiCode", "PoorDocumentation", "MisleadingComments", "GlobalStateAbuse", "FeatureEnvy", "ShotgunSurgery", "UntestedCode", "FormattingIssues", "UnstableModule"]
+
+
+@query(f"WITH {_FIGURES}, r AS ({_RULES_SQL}) SELECT c_custkey, {', '.join(_Y.format(n) + f' AS y_{n}' for n in _NAMES)} FROM r")
 def rules_13(spark: SparkSession, d: str) -> DataFrame:
     return labels.label(_figures(spark, d)).select("c_custkey", *[f"y_{n}" for n, _, _ in labels.RULES])
 
 
-@query(f"""WITH {_FIGURES}, y AS (SELECT c_custkey, {_LABELS} FROM f) SELECT c_custkey, {" || ".join(f"y_{n}" for n in labels.VECTOR)} AS vector,
-    greatest({", ".join(f"y_{n}" for n in labels.VECTOR)}) AS y_any_smell FROM y""")
+@query(f"""WITH {_FIGURES}, r AS ({_RULES_SQL}), y AS (SELECT c_custkey, [{', '.join(_Y.format(n) for n in _VECTOR)}] AS v FROM r)
+    SELECT c_custkey, array_to_string(v, '') AS vector, list_max(v)::INT AS y_any_smell FROM y""")
 def label_vector(spark: SparkSession, d: str) -> DataFrame:
     y = labels.label(_figures(spark, d))
     y = features.any_label(y.withColumn("v", labels.vector_of(F.col("smells"))), [f"y_{n}" for n in labels.VECTOR])
@@ -523,6 +599,14 @@ def subset_acc(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.subset_accuracy(_predicted(spark, d), "doc_id").select(_r("subset_accuracy", 8))
 
 
+@query(f"""WITH {_PREDICTED}, s AS (SELECT doc_id % 3 = 0 AS test, (y_quality = p_quality AND y_toxic = p_toxic)::INT AS good FROM p)
+    SELECT round(avg(good) FILTER (NOT test), 8) AS train_accuracy, round(avg(good) FILTER (test), 8) AS test_accuracy, round(avg(good) FILTER (NOT test) - avg(good) FILTER (test), 8) AS gap FROM s""")
+def accuracy_gap(spark: SparkSession, d: str) -> DataFrame:
+    rows = _predicted(spark, d)
+    got = evaluation.generalisation_gap(rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0"), "doc_id")
+    return got.select(_r("train_accuracy", 8), _r("test_accuracy", 8), _r("gap", 8))
+
+
 @query(f"""WITH {_PREDICTED}, e AS (SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, tp + fn AS support FROM c),
     a AS (SELECT * FROM e UNION ALL SELECT 'micro avg', sum(tp) / (sum(tp) + sum(fp)), sum(tp) / (sum(tp) + sum(fn)), 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), sum(tp) + sum(fn) FROM c
     UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM e
@@ -553,10 +637,10 @@ def smell_files(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.files_by_label(rows, "doc_id").select("label", "n", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
 
 
-@query("""SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders QUALIFY place <= 11""")
+@query(f"SELECT id, 'r' || id AS repo, row_number() OVER (ORDER BY stargazers_count DESC, 'r' || id)::INT AS place FROM ({_URLS}) QUALIFY place <= 11")
 def first_eleven(spark: SparkSession, d: str) -> DataFrame:
-    top = _t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(11)
-    return top.select("o_orderkey", "o_orderdate", F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    top = repos.to_fetch(_repos(spark, d), spark.createDataFrame([], "repo string"), 11)
+    return top.select("id", "repo", F.row_number().over(W.orderBy(F.desc("stargazers_count"), "repo")).alias("place"))
 
 
 @query("""SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*)::BIGINT AS n_rows, count(*) FILTER (o_orderkey IS NULL)::BIGINT AS n_null FROM orders
@@ -628,7 +712,7 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     rows, names, targets = _examples(spark, d)
-    got = models.train(rows, names, targets, "random_forest", {"numTrees": 5, "maxDepth": 4}).importances()
+    got = models.train(rows, names, targets, "random_forest", {"numTrees": 5, "maxDepth": 4}).importances(15)
     return spark.createDataFrame(got, "label string, feature string, importance double")
 
 

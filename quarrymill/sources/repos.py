@@ -7,10 +7,11 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarrymill.functions.core import repo_name
+from quarrymill.functions.core import file_class, repo_name
 
 RAW = """struct<id:bigint,name:string,full_name:string,html_url:string,clone_url:string,description:string,language:string,created_at:string,updated_at:string,size:bigint,
 stargazers_count:bigint,forks_count:bigint,open_issues_count:bigint,license:struct<key:string>,topics:array<string>,owner:struct<login:string>,fork:boolean,archived:boolean>""".replace("\n", "")
@@ -46,6 +47,14 @@ def to_fetch(repos: DataFrame, present: DataFrame, limit: int | None = None) ->
     return left.limit(limit) if limit is not None else left
 
 
+def file_classes(paths: DataFrame, shown: int = 20, path: str = "path") -> DataFrame:
+    """class (git, kept, other), n, examples: how many paths each class has, and the first ones."""
+    rows = paths.select(F.col(path).alias("path"), file_class(F.col(path)).alias("class"))
+    place = F.row_number().over(W.partitionBy("class").orderBy("path"))
+    first = rows.withColumn("_r", place).where(F.col("_r") <= shown).groupBy("class").agg(F.array_sort(F.collect_list("path")).alias("examples"))
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(first, "class")
+
+
 def clone_all(urls: list[str], folder: str, depth: int = 10, run: Callable = subprocess.run) -> list[str]:
     """Shallow clones, skipping what is there; an action of the driver. Returns the folders."""
     import os
@@ -75,29 +84,44 @@ class _Page(InputPartition):
 
 class _SearchReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.languages = [x.strip() for x in options.get("languages", "python,java,cpp").split(",")]
+        split = lambda name, default: [x.strip() for x in options.get(name, default).split(",") if x.strip()]
+        self.languages, self.topics = split("languages", "python,java,cpp"), split("topics", "")
         self.pages, self.base = int(options.get("pages", "100")), options["endpoint"].rstrip("/")
-        self.query = f"stars:>{options.get('minStars', '50')} size:<{options.get('maxSize', '100000')}"
+        self.query = " ".join([f"stars:>{options.get('minStars', options.get('minstars', '50'))}", f"size:<{options.get('maxSize', options.get('maxsize', '100000'))}", *[f"topic:{t}" for t in self.topics]])
         self.token = options.get("token", "")
 
     def partitions(self) -> list[InputPartition]:
         return [_Page(x, p) for x in self.languages for p in range(self.pages)]
 
+    def _get(self, path: str) -> dict:
+        import json
+        from urllib.request import Request, urlopen
+
+        with urlopen(Request(self.base + path, headers={"Authorization": f"token {self.token}"} if self.token else {}), timeout=60) as reply:
+            return json.load(reply)
+
+    def may_search(self) -> bool:
+        """False where the gate had to wait: the page is left out then. A limit that cannot be read is no reason to wait."""
+        try:
+            core = self._get("/rate_limit")["resources"]["core"]
+        except (OSError, ValueError, KeyError):
+            return True
+        return not rate_gate(core["remaining"], core["reset"])
+
     def read(self, partition: _Page) -> Iterator[tuple]:
         import json
         from urllib.parse import urlencode
-        from urllib.request import Request, urlopen
 
+        if not self.may_search():
+            return
         query = urlencode({"q": f"language:{partition.language} {self.query}", "sort": "stars", "order": "desc", "per_page": 100, "page": partition.page})
-        request = Request(f"{self.base}/search/repositories?{query}", headers={"Authorization": f"token {self.token}"} if self.token else {})
-        with urlopen(request, timeout=60) as reply:
-            for item in json.load(reply).get("items", []):
-                yield (json.dumps(item),)
+        for item in self._get(f"/search/repositories?{query}").get("items", []):
+            yield (json.dumps(item),)
 
 
 class RepositorySearch(DataSource):
-    """format("repository_search"): one partition for each language and page. Options endpoint, languages, pages,
-    minStars, maxSize, token. Column value holds an item's JSON; see project_metadata."""
+    """format("repository_search"): one partition for each language and page, behind the rate gate. Options endpoint,
+    languages, topics, pages, minStars, maxSize, token. Column value holds an item's JSON; see project_metadata."""
 
     @classmethod
     def name(cls) -> str:

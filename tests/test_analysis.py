@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.operators import astmetrics, history, labels, nodes, objects, summary, textmetrics
+from quarrymill.operators import astmetrics, graphs, history, kept, labels, nodes, objects, summary, textmetrics
 
 SNIPPET = '''"""Doc."""
 import os
@@ -84,8 +86,8 @@ def test_nested_definitions_count_in_all_around_them(spark):
 def test_call_depth_of_cycles_and_self_calls(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")], "src string, dst string").withColumn("g", F.lit(1))
     n = spark.createDataFrame([(x,) for x in "abcde"], "node string").withColumn("g", F.lit(1))
-    got = {r["node"]: r["depth"] for r in objects.longest_paths(e, n, ["g"]).collect()}
-    assert got == {"a": 3, "b": 2, "c": 2, "d": 0, "e": 0}
+    got = {r["node"]: r["depth"] for r in graphs.longest_paths(e, n, ["g"]).collect()}
+    assert got == {"a": 3, "b": 2, "c": 1, "d": 0, "e": 0}
     m = objects.graph_metrics(n, e, ["g"]).collect()[0]
     assert (m["nodes"], m["edges"], m["density"]) == (5, 5, 0.25)
 
@@ -184,3 +186,41 @@ def test_python_rounding(spark, value, digits, want):
     from quarrymill.functions.core import python_round
 
     assert spark.createDataFrame([(value,)], "x double").select(python_round(F.col("x"), digits)).first()[0] == want
+
+
+def test_depths_have_no_limit():
+    chain = {i: [i + 1] for i in range(5000)}
+    assert graphs.call_depths(range(5001), chain)[:2] == [5000, 4999]
+    layers = {(a, i): [(a + 1, 0), (a + 1, 1)] for a in range(60) for i in (0, 1)}
+    assert graphs.call_depths([(0, 0), (0, 1)], layers) == [60, 60]
+    # a class that was met before is one step; an unnamed base is one too
+    assert graphs.inheritance_depths(["D", "A", "B", "X"], {"D": ["A", "B"], "A": ["X"], "B": ["A"], "X": [None]}) == [3, 2, 3, 1]
+    assert graphs.inheritance_depths(["A", "B"], {"A": ["B"], "B": ["A"]}) == [2, 2]
+    assert graphs.inheritance_depths([f"C{i}" for i in range(300)], {f"C{i}": [f"C{i - 1}"] if i else [] for i in range(300)})[-1] == 299
+
+
+def test_depths_of_many_small_files(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("file_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    names = rows.select("file_id", F.concat(F.lit("f"), F.col("k").cast("string")).alias("node"))
+    edges = rows.where("k > 0").select("file_id", F.concat(F.lit("f"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("f"), (F.col("k") - 1).cast("string")).alias("dst"))
+    got = graphs.longest_paths(edges, names, ["file_id"]).groupBy("node").agg(F.min("depth").alias("a"), F.max("depth").alias("b"), F.count(F.lit(1)).alias("n"))
+    assert {tuple(r) for r in got.collect()} == {(f"f{i}", i, i, 100_000) for i in range(4)}
+
+
+def test_names_of_imports_globals_and_modules(spark):
+    text = "import os, sys as s\nfrom . import x\nfrom a.b import c\nG = 1\ndef f():\n    global H\n    def g():\n        return G\n    os.path.join(G)\n    json.dumps(s.a)\ndef h():\n    f(); os.getcwd()\n"
+    tree = nodes.parse(spark.createDataFrame([(1, "r", "p", text, "ok")], FILES))
+    s = astmetrics.file_structure(tree).first()
+    assert s["imports"] == ["os", "sys"] and s["import_froms"] == [".x", "a.b.c"] and s["total_imports"] == 4
+    u = astmetrics.global_usage(tree).first()
+    assert (u["globals_declared"], u["global_usages_total"], u["usage_per_name"]) == (1, 3, {"G": 3, "H": 1})
+    g = objects.call_graph(tree, astmetrics.function_metrics(tree)).first()
+    assert g["cross_module_calls"] == {"f": ["json", "os"], "h": ["os"]} and g["modules_called"] == ["json", "os"]
+    assert [nodes.dotted(ast.parse(x).body[0].value.func) for x in ("a()", "a.b.c()", "a().b.c()", "a()()", "x[0].y()")] == ["a", "a.b.c", "b.c", None, "y"]
+
+
+def test_kept_tables_are_released(spark):
+    df = kept.keep(spark.range(3))
+    assert df.is_cached
+    kept.release()
+    assert not df.is_cached and not kept._held

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import http.server
+import json
 import subprocess
+import sys
+import threading
+import time
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import evaluation, features, models
-from quarrymill.sources import datasets, files, gitlog, repos
+from quarrymill.functions import core
+from quarrymill.sources import datasets, files, gitlog, lint, repos
 from quarrymill.streaming import metrics
 
 
@@ -102,3 +109,80 @@ def test_stream_metrics(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("text_metrics").first().asDict() == {"file_id": 1, "loc": 2, "max_line_length": 8, "percent_lines_over_80": 0.0, "todo_fixme_count": 1}
+
+
+def test_saved_models_are_listed_and_vote(spark, tmp_path):
+    df = spark.range(60).select("id", (F.col("id") % 10).cast("double").alias("f"), (F.col("id") % 10 > 4).cast("int").alias("y_hi"), F.concat(F.lit("temp/"), F.when(F.col("id") < 30, "one").otherwise("two"), F.lit("/x.py")).alias("file_path"))
+    for name in ("b", "a", "c"):
+        models.train(df, ["f"], ["hi"], "random_forest", {"numTrees": 3, "maxDepth": 2}).save(spark, str(tmp_path / "models" / name))
+    (tmp_path / "models" / "notes").mkdir()
+    assert models.saved(spark, str(tmp_path / "models")) == ["a", "b", "c"] and models.saved(spark, str(tmp_path / "none")) == []
+    every = models.load_saved(spark, str(tmp_path / "models"))
+    assert list(every) == ["a", "b", "c"] and list(models.load_saved(spark, str(tmp_path / "models"), ["b"])) == ["b"]
+    got = models.predict_repository(df, "temp/one", "id", every, ["hi"])
+    assert {(r["id"], r["prediction"]) for r in got.collect()} == {(i, int(i % 10 > 4)) for i in range(30)}
+    assert models.of_repository(df.withColumn("repo", F.lit("q")), "q", strict=True).count() == 60
+    warned = []
+    models.ensemble(df, "id", every | {"other": models.MultiLabelModel(["gone"], every["a"].models)}, ["hi"], warned.append)
+    assert len(warned) == 1 and warned[0].startswith("other")
+    assert every["a"].importances(1) == every["a"].importances()[:1]
+    assert models.rename_params({"a": 1}) == {"estimator__a": 1} and models.rename_params({"estimator__a": 1, "b": 2}, add=False) == {"a": 1, "b": 2}
+    assert features.feature_columns(df) == ["id", "f"] and features.positional_split(df, 2) == (["id", "f"], ["y_hi", "file_path"])
+
+
+def test_combined_file_comes_first(spark, tmp_path):
+    (tmp_path / "each").mkdir()
+    (tmp_path / "each" / "x.json").write_text('[{"a": 1}, {"a": 2}]')
+    with pytest.raises(FileNotFoundError):
+        datasets.read_combined(spark, str(tmp_path / "no.json"), str(tmp_path / "none"))
+    assert datasets.read_combined(spark, str(tmp_path / "all.json"), str(tmp_path / "each"), "a int").count() == 2
+    (tmp_path / "all.json").write_text('[{"a": 7, "file_info": {"path": "p"}}]')
+    one = datasets.read_combined(spark, str(tmp_path / "all.json"), str(tmp_path / "each"))
+    assert [r.asDict() for r in datasets.without_file_info(one).collect()] == [{"a": 7}]
+    assert datasets.clear_folder(spark, str(tmp_path / "each")) == {"status": "cleared"} and not list((tmp_path / "each").iterdir())
+    assert datasets.clear_folder(spark, str(tmp_path / "none"))["status"] == "run directory does not exist"
+
+
+def test_literals_and_lint(spark):
+    texts = ["{'a': \"it's\"}", "{'a': 'True story'}", '{"a": "x"}', "('a',)", "", None, "os.remove('x')", "{'a': None}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    got = {r["file_id"]: r["p"] for r in df.select("file_id", core.safe_parse_json(F.col("content"), "a string").alias("p")).collect()}
+    assert [got[i] and got[i]["a"] for i in range(8)] == ["it's", "True story", "x", None, None, None, None, None] and got[4] is None and got[5] is None and got[6] is None
+    found = {r["file_id"]: r for r in lint.lint_tool(df, (sys.executable, "-c", "import sys; [print(sys.argv[1] + f':{i}:1: E') for i in range(600)]")).collect()}
+    assert len(found) == 8 and len(found[0]["findings"]) == 500 and found[0]["findings"][0] == "0:1: E" and not found[0]["failed"]
+    assert lint.lint_tool(df, ("no such tool",)).where("failed").count() == 8
+
+
+def test_search_behind_the_gate(spark):
+    asked = []
+    left = {"remaining": 50, "reset": time.time() - 100}
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            url = urlparse(self.path)
+            body = {"resources": {"core": left}} if url.path == "/rate_limit" else {"items": [{"id": len(asked)}]}
+            if url.path != "/rate_limit":
+                asked.append(parse_qs(url.query))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        reader = repos._SearchReader({"endpoint": f"http://127.0.0.1:{server.server_port}", "languages": "python", "topics": "etl, sql", "pages": "2", "minStars": "7", "maxSize": "9"})
+        assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 2
+        assert asked[0]["q"] == ["language:python stars:>7 size:<9 topic:etl topic:sql"] and [a["page"] for a in asked] == [["0"], ["1"]]
+        waits = []
+        gate, repos.rate_gate = repos.rate_gate, lambda remaining, reset: repos_gate(remaining, reset, lambda: reset, waits.append)
+        repos_gate = gate
+        try:
+            left["remaining"] = 9
+            assert list(reader.read(reader.partitions()[0])) == [] and waits == [10] and len(asked) == 2
+        finally:
+            repos.rate_gate = gate
+    finally:
+        server.shutdown()
