@@ -23,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 8 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -62,7 +63,13 @@ class Scratch:
     def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", compression).parquet(path)
+        # the table cuts the lineage, so what was shuffled to make it can go as soon as it is written
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

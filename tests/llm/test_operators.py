@@ -554,7 +554,7 @@ def test_rule_ledger(spark):
 
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 700)
-    monkeypatch.setattr(pitman_yor, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(pitman_yor, "CELL_BYTES", 4000)
     docs = corpus(11, 200)
     df = make(spark, docs, "train")
     train = F.coalesce(F.col("doc_id") % 4 != 1, F.lit(False))
@@ -575,23 +575,106 @@ def test_language_model(spark, monkeypatch):
     assert nothing["train_tokens"] == 0 and nothing["score"] == 0
 
 
-def test_seats_add_up_and_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    words = np.sort(rng.integers(1, 2**50, 40, dtype=np.uint64)) << np.uint64(6)
-    keys = np.unique(np.concatenate([words | np.uint64(c) for c in range(3)]))
-    counts = rng.integers(0, 6, len(keys)).astype(np.uint32)
-    x = pitman_yor.Shard(keys, counts, 1)
-    s = x.stats()
-    world = pitman_yor.World(np.array(s["customers"]), np.array(s["tables"]), np.array(s["ones"]))
-    x.start(world)
-    none = (np.zeros(64, np.int64), 0, 0)
-    for _ in range(5):
-        x.sweep(world, none, 3)
-        assert (x.low.n == counts[counts >= 2]).all() and (x.low.sizes.sum() == x.low.n.sum()) and (x.high.n == x._parent_customers()).all()
-        assert ((x.low.sizes > 0).sum() == x.low.t.sum()) and (x.low.t >= 1).all()
-    p = x.probability(world, none)
-    unknown = (pitman_yor.STRENGTH + world.parent_discount * x.high.t.sum()) * world.uniform / (pitman_yor.STRENGTH + x.high.n.sum())
-    seen = x.word_counts[x.word] > 0
-    for c in range(3):
-        back = (pitman_yor.STRENGTH + world.discount * x.totals()[0][c]) / (pitman_yor.STRENGTH + world.customers[c])
-        assert math.isclose(p[(x.context == c) & seen].sum() + back * unknown, 1, rel_tol=1e-9)
+def messages(docs, train, bits=(0, 0)):
+    """What blocks of these texts send, by cell."""
+    known = common.WordHash()
+    split = [[*x.lower().split(), pitman_yor.END] for x in docs]
+    own = known.of([w for x in split for w in x])
+    out = collections.defaultdict(list)
+    for batch in pitman_yor.block_rows(7, own, np.array([len(x) for x in split]), np.arange(len(docs)), np.array(train), bits, True):
+        for r in batch.to_pylist():
+            out[r["key"]].append(r)
+    return out, known
+
+
+@pytest.mark.parametrize("bits", [(0, 0), (2, 1)])
+def test_every_context_sums_to_one(bits):
+    rng = random.Random(6)
+    docs = [" ".join(rng.choice("abcdefghijkl") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(0, 90))).encode() for _ in range(40)]
+    sent, known = messages(docs, [i % 5 > 0 for i in range(40)], bits)
+    columns = [f.name for f in pitman_yor._SCHEMA]
+    cells = {k: pitman_yor.Cell.of([r["a"] for r in v]) for k, v in sent.items() if k >= 0}
+    world = pitman_yor.World(20, 9)
+    for k in range(4):
+        told = [dict(zip(columns, r, strict=True)) for key, c in cells.items() for r in c.rows(key, bits)]
+        replies, totals = collections.defaultdict(list), np.zeros(6)
+        for shard in {r["key"] for r in told if r["kind"] != pitman_yor.CELL}:
+            some = [r for r in told if r["kind"] != pitman_yor.CELL and r["key"] == shard]
+            for r in pitman_yor.shard_rows(some, world, k == 0, np.random.default_rng(k)):
+                r = dict(zip(columns, r, strict=True))
+                if r["kind"] == pitman_yor.TOTALS:
+                    totals += r["s"]
+                else:
+                    replies[r["key"]].append(r)
+        world.customers, world.tables, world.words, world.tokens = totals[:4]
+        for key, c in cells.items():
+            c.hear(sorted(replies[key], key=lambda r: (r["kind"], r["ref"])), world)
+            if k < 3:
+                c.sweep(world, k + 1, np.random.default_rng([k, key]))
+                assert (c.tables >= 1).all() and (c.tables <= c.n).all()
+    trained = [w for i, x in enumerate(docs) if i % 5 for w in [*x.lower().split(), pitman_yor.END]]
+    assert world.tokens == len(trained) and world.words == len(set(trained))
+    mass, back = collections.defaultdict(float), {}
+    for c in cells.values():
+        for j, context in enumerate(c.contexts.tolist()):
+            seen = np.flatnonzero(c.word_counts > 0)
+            mass[context] += c.probability(seen, np.full(len(seen), j), world).sum()
+            back[context] = (pitman_yor.STRENGTH + world.discount * c.context_tables[j]) / (pitman_yor.STRENGTH + c.customers[j])
+    unknown = world.parent(np.zeros(1))[0]
+    for context, m in mass.items():
+        rows = {_top for _top in pitman_yor._top(known.of(sorted(set(trained))), bits[0]).tolist()}
+        if sum(context in c.contexts for c in cells.values()) == len(rows):  # cells hold a context where one of its pairs falls
+            assert math.isclose(m + back[context] * unknown, 1, rel_tol=1e-5)
+    assert any(m > 0.9 for m in mass.values())
+
+
+def test_drawn_tables_follow_their_weights():
+    rng = np.random.default_rng(8)
+    for n, weight, d in ((2, 0.3, 0.7), (7, 2.0, 0.5), (40, 5.0, 0.8), (64, 0.01, 0.3)):
+        logs = pitman_yor.log_stirling(n, d)[n, 1:] + np.log(weight) * np.arange(1, n + 1)
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        t = pitman_yor.draw_tables(np.full(40_000, n), np.full(40_000, weight), d, rng)
+        assert np.abs(np.bincount(t, minlength=n + 1)[1:] / 40_000 - p).max() < 0.012
+    # above, by the saddle point
+    for n, weight, d in ((65, 0.02, 0.7), (300, 4.0, 0.7), (300, 60.0, 0.5), (400, 900.0, 0.8)):
+        logs = pitman_yor.log_stirling(n, d)[n, 1:] + np.log(weight) * np.arange(1, n + 1)
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        mean = (p * np.arange(1, n + 1)).sum()
+        t = pitman_yor.draw_tables(np.full(20_000, n), np.full(20_000, weight), d, rng)
+        assert t.min() >= 1 and t.max() <= n and abs(t.mean() - mean) < 0.06 * mean + 0.15, (n, weight, d, t.mean(), mean)
+    assert pitman_yor.draw_tables(np.array([0, 1, 10**9]), np.array([1.0, 1.0, 5.0]), 0.6, rng)[:2].tolist() == [0, 1]
+
+
+def discounted_bigram(train, held, d=0.75):
+    """log10 of held-out texts under an interpolated bigram with absolute discounts, over continuation counts."""
+    end, pairs, after, kinds, contexts = None, collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    tokens = lambda x: [*x.lower().split(), end]
+    for x in train:
+        last = end
+        for w in tokens(x):
+            pairs[last, w] += 1
+            after[last] += 1
+            last = w
+    for u, w in pairs:
+        kinds[u] += 1
+        contexts[w] += 1
+    n, v = len(pairs), len(contexts)
+    total = 0.0
+    for x in held:
+        last = end
+        for w in tokens(x):
+            low = (max(contexts[w] - d, 0) + d * v / (v + 1)) / n
+            total += math.log10((max(pairs[last, w] - d, 0) + d * kinds[last] * low) / after[last] if after[last] else low)
+            last = w
+    return total
+
+
+def test_word_contexts_beat_a_plain_bigram(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    df = make(spark, docs)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df, quality.remainder(F.col("doc_id"), 7) != 2).collect()}
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
+    plain = discounted_bigram([t for (_, t), h in zip(docs, held, strict=True) if not h], [t for (_, t), h in zip(docs, held, strict=True) if h])
+    assert sum(got[i] for (i, _), h in zip(docs, held, strict=True) if h) > plain * 1.01
