@@ -53,6 +53,9 @@ class WordTokens(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        probe = ["Ab", "c", "Zq,", "Éa", "12x"]
+        if b"".join(self._one(_lowered(w.encode()).decode()) for w in probe) != self._one(" \n".join(probe)) or not self.ends[np.frombuffer(self._one("ab"), "<u4")[-1]]:
+            raise ValueError(f"{path} is no tokenizer that drops white space, lowers case and marks word ends")
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
@@ -245,10 +248,9 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACIT
     total = lambda plan: sum(n for _, n in plan)
     least = -(-int((sizes * demand).sum()) // capacity)
     solved, best = solve_configurations(sizes, demand, capacity, rounds), None
-    # the LP's patterns with the rest by best fit; where that isn't the least there can be, the rest by fullest
-    # sequences, and either rule without the LP
-    for configurations, rest in ((solved, _best_fit), (solved, _fullest), ([], _fullest), ([], _best_fit)):
-        plan = rounded(configurations, rest)
+    # the LP's patterns with the rest by best fit; where that isn't the least there can be, the rest by fullest sequences
+    for rest in (_best_fit, _fullest):
+        plan = rounded(solved, rest)
         if best is None or total(plan) < total(best):
             best = plan
         if total(best) == least:
