@@ -27,9 +27,8 @@ from quarrymill.llm.common import Scratch, chunks, n_words, texts, trimmed
 
 #: Words of a block; smaller where the smallest source would have fewer than 64 of them.
 BLOCK = 64
-#: Words of a shard, while a source has no more than MAX_SHARDS.
+#: Words of a shard.
 SHARD_WORDS = 500_000
-MAX_SHARDS = 4096
 WEIGHTS = (3, 1, 2)
 
 
@@ -92,7 +91,7 @@ def _mixed(docs: DataFrame, carried: list[str], share: float, max_repeats: int,
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.coalesce(F.floor(least / 64), F.lit(block)))).cast("long"))
     sources = sources.withColumn("_seats", F.round(F.sum("target").over(W.partitionBy()) / F.col("block")).cast("long")).withColumn("_world", F.lit(0))
     sources = sainte_lague(sources, ["_world"], "source", "target", "_seats", "source_blocks")
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long"))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
     small = sources.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_blocks", "shards")
 
     def with_shard(rows: DataFrame) -> DataFrame:

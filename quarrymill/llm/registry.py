@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
         s3 AS (SELECT *, arg_min(level, capacity / weight) FILTER (level * weight <= capacity) OVER () AS final FROM s2),
         s4 AS (SELECT source, source_size, least(capacity, coalesce(weight * final, capacity))::DOUBLE AS target FROM s3),
         s5 AS (SELECT *, greatest(1, least(64, coalesce(floor(min(target) FILTER (target > 0) OVER () / 64), 64)))::BIGINT AS block FROM s4),
-        s6 AS (SELECT *, round(sum(target) OVER () / block)::BIGINT AS seats, greatest(1, least(4096, ceil(source_size / 500000)))::BIGINT AS shards FROM s5),
+        s6 AS (SELECT *, round(sum(target) OVER () / block)::BIGINT AS seats, greatest(1, ceil(source_size / 500000))::BIGINT AS shards FROM s5),
         q0 AS (SELECT source, target / (2 * k + 1) AS q, k, seats FROM (SELECT source, target, seats, unnest(range(0, (target / block * 1.2)::BIGINT + 16)) AS k FROM s6 WHERE target > 0)),
         q1 AS (SELECT source, count(*)::BIGINT AS source_blocks FROM (SELECT * FROM q0 QUALIFY row_number() OVER (ORDER BY q DESC, source NULLS LAST, k) <= seats) GROUP BY source),
         r0 AS (
