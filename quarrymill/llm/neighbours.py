@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import Scratch, trimmed
 
 #: THRESHOLD: share of the lines whose windows must hold a vector. MARGIN: in standard deviations of that share.
-K, PROJECTIONS, THRESHOLD, MARGIN, STEP = 20, 256, 0.78, 0.8, 1.05
-SHARD_ROWS = 32_768
+K, PROJECTIONS, THRESHOLD, MARGIN, STEP = 20, 240, 0.78, 0.5, 1.1
+#: At most 2 ** 16, so that a place in a line is two bytes; and with less than 256 lines a count of them is one byte.
+SHARD_ROWS = 65_536
 _AT_ONCE = 64  # queries answered in one batch
 
 
@@ -58,41 +59,38 @@ class CollisionIndex:
         lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, projections))
         place = (x @ lines[:-1] + rest[:, None] * lines[-1]).T
         self.vectors, self.norm, self.lines = vectors, norm, lines[:-1]
-        self.order, self.sorted = np.empty(place.shape, np.int32), np.empty(place.shape)
+        self.sorted, self.rank = np.empty(place.shape), np.empty(place.shape, np.uint16)
         for i, line in enumerate(place):  # line by line: no second copy of all places
-            self.order[i] = order = np.argsort(line, kind="stable")
-            self.sorted[i] = line[order]
+            order = np.argsort(line, kind="stable")
+            self.sorted[i], self.rank[i][order] = line[order], np.arange(len(line), dtype=np.uint16)
         n = len(vectors)
         self.start = max(0.8 * float((self.sorted[:, (3 * n) // 4] - self.sorted[:, n // 4]).mean()), 1e-9)
 
     def candidates(self, queries: np.ndarray, k: int = K, threshold: float = THRESHOLD, margin: float = MARGIN, step: float = STEP) -> list[np.ndarray]:
         """For each query, the vectors that were verified."""
-        n, m = len(self.vectors), len(self.order)
-        lines, most, wide = list(zip(self.sorted, self.order, strict=True)), int((1 - threshold) * m), last_window(threshold, margin, m)
+        n, m = self.rank.shape[::-1]
+        least, wide = m - int((1 - threshold) * m), last_window(threshold, margin, m)
         scale = np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-        out = []
+        off, inside, out = np.empty(n, np.uint16), np.empty(n, bool), []
         for unit, places in zip(queries / scale, queries / scale @ self.lines, strict=True):
-            # windows soon hold most of a line, so what is counted is the lines whose window a vector is not in
-            radius, missed = self.start, np.zeros(n, np.int16)
-            ends = [(int(s.searchsorted(c - radius)), int(s.searchsorted(c + radius, "right"))) for (s, _), c in zip(lines, places, strict=True)]
-            for (_, order), (x, y) in zip(lines, ends, strict=True):
-                missed[order[:x]] += 1  # a line holds a vector once, so no place is counted twice
-                missed[order[y:]] += 1
-            verified, best = np.zeros(n, bool), np.zeros(0)
+            radius, verified, best = self.start, np.zeros(n, bool), np.zeros(0)
             while True:
-                new = np.flatnonzero((missed <= most) & ~verified)
+                hits = np.zeros(n, np.uint8)
+                for line, rank, c in zip(self.sorted, self.rank, places.tolist(), strict=True):
+                    x, y = int(line.searchsorted(c - radius)), int(line.searchsorted(c + radius, "right"))
+                    if y - x == n:
+                        hits += 1
+                    elif x < y:  # a window is a stretch of places in the line: x <= rank < y, in numbers that wrap around
+                        np.subtract(rank, np.uint16(x), out=off)
+                        np.less(off, np.uint16(y - x), out=inside)
+                        np.add(hits, inside.view(np.uint8), out=hits)
+                new = np.flatnonzero((hits >= least) & ~verified)
                 verified[new] = True
                 # k and the query's own vector
                 best = np.sort(np.concatenate([best, 2 - 2 * (self.vectors[new] @ unit) / self.norm]))[: k + 1]
                 if (len(best) > k and radius >= wide * np.sqrt(max(0.0, best[k]))) or verified.all():
                     break
                 radius *= step
-                for i, ((s, order), c) in enumerate(zip(lines, places, strict=True)):
-                    x, y = ends[i]
-                    new_x, new_y = int(s.searchsorted(c - radius)), int(s.searchsorted(c + radius, "right"))
-                    missed[order[new_x:x]] -= 1
-                    missed[order[y:new_y]] -= 1
-                    ends[i] = new_x, new_y
             out.append(np.flatnonzero(verified))
         return out
 
