@@ -248,9 +248,10 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACIT
     total = lambda plan: sum(n for _, n in plan)
     least = -(-int((sizes * demand).sum()) // capacity)
     solved, best = solve_configurations(sizes, demand, capacity, rounds), None
-    # the LP's patterns with the rest by best fit; where that isn't the least there can be, the rest by fullest sequences
-    for rest in (_best_fit, _fullest):
-        plan = rounded(solved, rest)
+    # the LP's patterns with the rest by best fit; where that isn't the least there can be, the rest by fullest
+    # sequences, and either rule without the LP, whose whole parts say little where lengths occur once or twice
+    for configurations, rest in ((solved, _best_fit), (solved, _fullest), ([], _fullest), ([], _best_fit)):
+        plan = rounded(configurations, rest)
         if best is None or total(plan) < total(best):
             best = plan
         if total(best) == least:
