@@ -144,6 +144,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i is None or c[1] == i} and "_gone" in kept.columns
 
 
+def test_large_buckets_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 3)
+    monkeypatch.setattr(minhash, "RARE", 1)  # so that buckets stay open for the rounds of centres
+    docs = family()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make(spark, docs)).collect()}
+    assert got == plain_near(docs)
+
+
 def test_densified_signatures_agree_as_often_as_sets_do():
     scheme, rng = minhash.OnePermutation(32, 5), np.random.default_rng(1)
     for n, both in ((40, 0.8), (400, 0.6)):
