@@ -212,21 +212,35 @@ def _shingles(text: Column, k: int = SHINGLE) -> Column:
 
 def _copies(docs: DataFrame, gone: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     """_id, _of: documents that are near-duplicates of an earlier one, _of, in what the stage leaves of both, if lines
-    that stand in _of stay in them. _of is no such document itself, so its text is that of the result."""
+    that stand in _of stay in them. _of is no such document itself, so its text is that of the result.
+
+    The numbers of shingles are compared first, and alone; only pairs that they allow carry texts, and sets are made of
+    those where the two meet."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
-    some = scratch.table(texts.join(gone, "_id"))
-    asked = some.select(F.col("_id").alias("b"), "text", "_gone", F.explode(F.array_distinct("_gone.class_doc")).alias("a")).where("a <> b")
+    named = gone.select(F.explode(F.array_distinct("_gone.class_doc")).alias("_id")).distinct().withColumn("_first", F.lit(True))
+    # one shuffle of the texts for those that lose lines and for those where the lines first stand
+    touched = scratch.table(texts.join(gone.join(named, "_id", "full"), "_id"))
     others = F.transform(F.filter("_gone", lambda g: g["class_doc"] != F.col("a")), lambda g: g["line_no"])
-    copies = asked.select("a", "b", _shingles(_without(F.col("text"), others)).alias("_y"))
-    named = some.select(F.explode(F.array_distinct("_gone.class_doc")).alias("_id")).distinct()
-    firsts = texts.join(named, "_id").join(gone, "_id", "left")
+    asked = touched.where("_gone IS NOT NULL").select(F.col("_id").alias("b"), "text", "_gone", F.explode(F.array_distinct("_gone.class_doc")).alias("a")).where("a <> b")
+    asked = asked.select("a", "b", _without(F.col("text"), others).alias("_y"))
     left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_gone.line_no")))
-    firsts = firsts.select(F.col("_id").alias("a"), _shingles(left).alias("_x"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    enough = (common > 0) & (100 * common >= similarity * (F.size("_x") + F.size("_y") - common))
-    fits = 100 * F.least(F.size("_x"), F.size("_y")) >= similarity * F.greatest(F.size("_x"), F.size("_y"))
-    near = scratch.table(copies.join(firsts, "a").where(F.when(fits, enough)).select("a", "b").distinct())
-    scratch.drop(some)
+    firsts = touched.where("_first").select(F.col("_id").alias("a"), left.alias("_x"))
+
+    def size(text: str) -> Column:
+        return F.coalesce(F.size(_shingles(F.col(text))), F.lit(0))
+
+    # written: a condition on a number would else be pushed below, and make each set once more
+    sizes = scratch.table(asked.select("a", "b", size("_y").alias("_m")))
+    fits = (F.least("_n", "_m") > 0) & (100 * F.least("_n", "_m") >= similarity * F.greatest("_n", "_m"))
+    fit = scratch.table(sizes.join(scratch.table(firsts.select("a", size("_x").alias("_n"))), "a").where(fits).select("a", "b").distinct())
+    few = fit.count() <= BROADCAST_ROWS
+    met = asked.join(F.broadcast(fit) if few else fit, ["a", "b"]).join(firsts, "a")
+    # through arrays of one struct, so that sets and their intersection are made once for each pair
+    sets = F.array(F.struct(_shingles(F.col("_x")).alias("x"), _shingles(F.col("_y")).alias("y")))
+    counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("c"), (F.size(s["x"]) + F.size(s["y"])).alias("n")))
+    near = F.transform(counts, lambda s: (s["c"] > 0) & (100 * s["c"] >= similarity * (s["n"] - s["c"])))[0]
+    near = scratch.table(met.where(near).select("a", "b").distinct())
+    scratch.drop(touched)
     plain = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     return plain.groupBy(F.col("b").alias("_id")).agg(F.min("a").alias("_of"))
 
