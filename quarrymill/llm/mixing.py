@@ -6,8 +6,10 @@ shard, documents stand in a seeded order and form one stream of words, which is
 the shard's quota are selected, evenly from a seeded start, each at most max_repeats times.
 
 The mix is a DataFrame plan (only cutting the texts, for mix_texts, is Python): one pass over the texts for their sizes, one shuffle of (doc_id, source, size) by
-shard. A source has as many shards as its size asks for, 4,096 at most, so a source with a third of all rows is
-spread over many tasks; all that meets in one task are rows of sources and of one source's shards.
+shard; mix_texts shuffles the texts once, by shard. A source has as many shards as its size asks for, so a source with a third of all rows is
+spread over many tasks; all that meets in one task are rows of sources and of one source's shards. The tables of sources and
+of shards are written, so that Spark knows their sizes before it plans the joins: it broadcasts them only if small, and else
+the texts are dealt by (source's number, shard) for the join, as the order within the shard asks anyway.
 
 Cases: null text has size 0 and is taken 0 times; an empty table gives an empty result; null source is a source of
 its own, last in order; rows that repeat share the order's place and get their own stretch of the stream; further
@@ -83,8 +85,9 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
 def _mixed(docs: DataFrame, carried: list[str], share: float, max_repeats: int, block: int, seed: int, weights: tuple[int, ...]) -> DataFrame:
     row = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("string")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("_row"))
+    scratch = Scratch(docs.sparkSession, "mixing")
     # sizes are needed three times and the texts should be counted once; this table has three small columns
-    small_rows = Scratch(docs.sparkSession, "mixing").table(sized.drop("_row"))
+    small_rows = scratch.table(sized.drop("_row"))
     sources = targets(small_rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, max_repeats, weights)
     # one block size for all sources: small enough that each source with words has 64 blocks to win
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy())
@@ -92,21 +95,22 @@ def _mixed(docs: DataFrame, carried: list[str], share: float, max_repeats: int,
     sources = sources.withColumn("_seats", F.round(F.sum("target").over(W.partitionBy()) / F.col("block")).cast("long")).withColumn("_world", F.lit(0))
     sources = sainte_lague(sources, ["_world"], "source", "target", "_seats", "source_blocks")
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
-    small = sources.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_blocks", "shards")
+    # sources by number: null is no case of its own in what follows
+    sources = sources.withColumn("_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
+    small = scratch.table(sources.select(F.col("source").alias("_source"), "_no", "source_size", "target", "block", "source_blocks", "shards"))
 
     def with_shard(rows: DataFrame) -> DataFrame:
         rows = rows.join(small, rows["source"].eqNullSafe(small["_source"])).drop("_source")
         return rows.withColumn("shard", seeded(seed, F.col("doc_id")) % F.col("shards"))
 
-    by_shard = with_shard(small_rows).groupBy("source", "shard", "source_blocks", "block").agg(F.sum("size").alias("shard_size"))
-    quotas = sainte_lague(by_shard, ["source"], "shard", "shard_size", "source_blocks", "quota")
+    by_shard = with_shard(small_rows).groupBy("_no", "source", "shard", "source_blocks", "block").agg(F.sum("size").alias("shard_size"))
+    quotas = sainte_lague(by_shard, ["_no"], "shard", "shard_size", "source_blocks", "quota")
     quotas = quotas.withColumn("shard_blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long"))
     quotas = quotas.withColumn("quota", F.least(F.col("quota"), max_repeats * F.col("shard_blocks")))
     quotas = quotas.withColumn("shift", F.coalesce(F.try_mod(seeded(seed + 1, F.col("source"), F.col("shard")), F.col("shard_blocks")), F.lit(0)))
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "quota", "shard_blocks", "shift")
-    rows = with_shard(sized if carried else small_rows)
-    rows = rows.join(quotas, rows["source"].eqNullSafe(quotas["_source"]) & (rows["shard"] == quotas["_shard"])).drop("_source", "_shard")
-    order = W.partitionBy("source", "shard").orderBy(seeded(seed + 2, F.col("doc_id")), "doc_id", "size")
+    quotas = scratch.table(quotas.select("_no", "shard", "quota", "shard_blocks", "shift"))
+    rows = with_shard(sized if carried else small_rows).join(quotas, ["_no", "shard"])
+    order = W.partitionBy("_no", "shard").orderBy(seeded(seed + 2, F.col("doc_id")), "doc_id", "size")
     rows = rows.withColumn("start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     return rows.withColumn("taken", _taken_before(F.col("start") + F.col("size")) - _taken_before(F.col("start")))
 
