@@ -210,16 +210,13 @@ def _shingles(text: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.array(words), grams)[0])
 
 
-def _copies(docs: DataFrame, gone: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
+def _copies(marked: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     """_id, _of: documents that are near-duplicates of an earlier one, _of, in what the stage leaves of both, if lines
     that stand in _of stay in them. _of is no such document itself, so its text is that of the result.
 
     The numbers of shingles are compared first, and alone; only pairs that they allow carry texts, and sets are made of
     those where the two meet."""
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
-    named = gone.select(F.explode(F.array_distinct("_gone.class_doc")).alias("_id")).distinct().withColumn("_first", F.lit(True))
-    # one shuffle of the texts for those that lose lines and for those where the lines first stand
-    touched = scratch.table(texts.join(gone.join(named, "_id", "full"), "_id"))
+    touched = marked.where("_id IS NOT NULL").select("_id", F.col("_row.text").alias("text"), "_gone", "_first")
     others = F.transform(F.filter("_gone", lambda g: g["class_doc"] != F.col("a")), lambda g: g["line_no"])
     asked = touched.where("_gone IS NOT NULL").select(F.col("_id").alias("b"), "text", "_gone", F.explode(F.array_distinct("_gone.class_doc")).alias("a")).where("a <> b")
     asked = asked.select("a", "b", _without(F.col("text"), others).alias("_y"))
@@ -240,7 +237,6 @@ def _copies(docs: DataFrame, gone: DataFrame, similarity: int, scratch: Scratch)
     counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("c"), (F.size(s["x"]) + F.size(s["y"])).alias("n")))
     near = F.transform(counts, lambda s: (s["c"] > 0) & (100 * s["c"] >= similarity * (s["n"] - s["c"])))[0]
     near = scratch.table(met.where(near).select("a", "b").distinct())
-    scratch.drop(touched)
     plain = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     return plain.groupBy(F.col("b").alias("_id")).agg(F.min("a").alias("_of"))
 
@@ -254,9 +250,16 @@ def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_C
     found, named = line_classes(docs, tau, min_chars)
     repeated = found.join(named, ["h1", "h2"]).where("NOT (class_doc = doc_id AND class_line = line_no)")
     gone = scratch.table(repeated.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class_doc")).alias("_gone")).withColumnRenamed("doc_id", "_id"))
-    goes = F.filter("_gone", lambda g: F.col("_of").isNull() | (g["class_doc"] != F.col("_of")))
-    gone = gone.join(_copies(docs, gone, similarity, scratch), "_id", "left").select("_id", F.transform(goes, lambda g: g["line_no"]).alias("_gone"))
+    firsts = gone.select(F.explode(F.array_distinct("_gone.class_doc")).alias("_id")).distinct().withColumn("_first", F.lit(True))
     # the documents' own columns stand in a struct meanwhile: none of their names can clash
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*docs.columns).alias("_row")).join(gone, F.col("_doc") == F.col("_id"), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*docs.columns).alias("_row"))
+    marks = scratch.table(gone.join(firsts, "_id", "full"))
+    # one shuffle of the texts, for those that lose lines and for those where the lines first stand
+    marked = scratch.table(rows.join(marks, F.col("_doc") == F.col("_id"), "left").drop("_doc"))
+    copies = scratch.table(_copies(marked, similarity, scratch))
+    goes = F.filter("_gone", lambda g: F.col("_of").isNull() | (g["class_doc"] != F.col("_of")))
+    # only documents that lose lines meet the copies
+    cut = marked.where("_gone IS NOT NULL").join(copies, "_id", "left").select("_row", F.transform(goes, lambda g: g["line_no"]).alias("_gone"))
     text = F.when(F.size("_gone") > 0, _without(F.col("_row.text"), F.col("_gone"))).otherwise(F.col("_row.text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    cut = cut.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return marked.where("_gone IS NULL").select(*[F.col("_row")[c].alias(c) for c in docs.columns]).union(cut)
