@@ -243,6 +243,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents, all columns, without those that a document of smaller doc_id stands for."""
+    """The documents, all columns, without those that a document of smaller doc_id stands for.
+
+    The ids of these are written, so that Spark knows their size before it plans the join: it broadcasts them only if small."""
     gone = near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = Scratch(docs.sparkSession, "minhash").table(gone)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
