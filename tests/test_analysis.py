@@ -224,3 +224,11 @@ def test_kept_tables_are_released(spark):
     assert df.is_cached
     kept.release()
     assert not df.is_cached and not kept._held
+
+
+def test_merged_intervals_with_repeated_rows_and_null_ends(spark):
+    """Against the SQL's rule, by hand: equal rows are one interval, null ends come last, an unknown low end opens an interval."""
+    rows = [(1, 3, 5), (1, 3, 5), (1, 6, 6), (1, 9, 9), (1, 9, 9), (2, 3, None), (2, 3, 5), (3, None, 4), (3, 2, 4)]
+    df = spark.createDataFrame(rows, "k int, low long, high long")
+    got = sorted(textmetrics.merge_intervals(df, ["k"]).collect(), key=str)
+    assert [tuple(r) for r in got] == [(1, 3, 6), (1, 9, 9), (2, 3, 5), (3, 2, 4), (3, None, 4)]
