@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions.core import entropy, over_at_least_one, overlap_mismatch, safe_ratio, stripped, words
+from quarrymill.operators.kept import large
 from quarrymill.operators.nodes import CONTROLS, DECISIONS, DEFS
 
 def _is_def():  # noqa: ANN202
@@ -35,7 +36,7 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(kind == "BoolOp", F.col("n_values"))), F.lit(0)).cast("long").alias("bool_terms"),
         F.collect_set(F.lower(F.when(kind == "Name", F.col("name")).when(kind == "Call", base))).alias("_tokens"),
     )
-    out = defs.join(found, ["file_id", "fn"])
+    out = defs.join(large(found), ["file_id", "fn"])
     cc, loc = F.col("cyclomatic_complexity"), F.greatest(F.lit(1), F.col("loc"))
     return (
         out.withColumn("nesting", F.greatest(F.lit(0), F.coalesce(F.col("_deepest"), F.col("ctl")) - F.col("ctl")))
@@ -60,7 +61,7 @@ def class_metrics(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     calls = calls.agg(
         F.sum(F.size(F.filter("calls_made", outward))).alias("external_calls"), F.sum(F.size(F.filter("calls_made", lambda c: ~outward(c)))).alias("internal_calls")
     )
-    out = heads.join(counts, ["file_id", "cls"], "left").join(calls, ["file_id", "cls"], "left").fillna(0, ["methods", "attributes", "external_calls", "internal_calls"])
+    out = heads.join(large(counts), ["file_id", "cls"], "left").join(large(calls), ["file_id", "cls"], "left").fillna(0, ["methods", "attributes", "external_calls", "internal_calls"])
     return out.withColumn("lazy_ratio", over_at_least_one(F.col("attributes"), F.col("methods")))
 
 
@@ -124,7 +125,7 @@ def mutations_outside_init(nodes: DataFrame) -> DataFrame:
     body it stands in; a nested class's methods inside a method count once more there."""
     methods = nodes.where(_is_def() & F.col("in_body") & (F.col("parent_kind") == "ClassDef") & (F.col("name") != "__init__")).select("file_id", F.col("pre").alias("fn"))
     sets = nodes.where(F.col("kind").isin("Assign", "AugAssign") & (F.size("self_targets") > 0)).select("file_id", F.explode("fns").alias("fn"), F.size("self_targets").alias("n"))
-    return sets.join(methods, ["file_id", "fn"]).groupBy("file_id").agg(F.sum("n").cast("long").alias("attribute_mutations_outside_init"))
+    return sets.join(large(methods), ["file_id", "fn"]).groupBy("file_id").agg(F.sum("n").cast("long").alias("attribute_mutations_outside_init"))
 
 
 def global_usage(nodes: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def global_usage(nodes: DataFrame) -> DataFrame:
     uses = inside.where("kind = 'Name'").select("file_id", "name", depth.alias("uses"), F.lit(0).cast("long").alias("stated"))
     stated = inside.where("kind = 'Global'").select("file_id", F.explode("names").alias("name"), F.lit(0).cast("long").alias("uses"), depth.alias("stated"))
     found = uses.union(stated).groupBy("file_id", "name").agg(F.sum("uses").alias("uses"), F.sum("stated").alias("stated"))
-    both = declared.join(found, ["file_id", "name"], "full").fillna(False, ["declared"]).fillna(0, ["uses", "stated"])
+    both = declared.join(large(found), ["file_id", "name"], "full").fillna(False, ["declared"]).fillna(0, ["uses", "stated"])
     n = F.when(F.col("declared"), F.col("uses")).otherwise(F.lit(0)) + F.col("stated")
     each = F.when(n > 0, F.struct("name", n.alias("n")))
     out = both.groupBy("file_id").agg(
@@ -159,12 +160,12 @@ def leading_comments(files: DataFrame, functions: DataFrame) -> DataFrame:
     joined = blocks.groupBy("file_id", "block").agg(F.max("idx").alias("end"), F.array_sort(F.collect_list(F.struct("idx", text.alias("text")))).alias("l"))
     joined = joined.select("file_id", "end", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("leading"))
     # the def's line, counted from 1, less 2 is the line above it
-    return functions.select("file_id", "fn", (F.col("lineno") - 2).alias("end")).join(joined, ["file_id", "end"]).select("file_id", "fn", "leading")
+    return functions.select("file_id", "fn", (F.col("lineno") - 2).alias("end")).join(large(joined), ["file_id", "end"]).select("file_id", "fn", "leading")
 
 
 def comment_mismatch(files: DataFrame, functions: DataFrame) -> DataFrame:
     """file_id, comment_code_mismatch_score: mean over defs with a docstring or comments above of 1 - |comment and code words| / |comment words|."""
-    text = functions.select("file_id", "fn", "doc", "code_tokens").join(leading_comments(files, functions), ["file_id", "fn"], "left")
+    text = functions.select("file_id", "fn", "doc", "code_tokens").join(large(leading_comments(files, functions)), ["file_id", "fn"], "left")
     # a def without any comment is left out; a space stands between docstring and comments, so comments alone start with one
     said = text.where((F.length(F.coalesce("doc", F.lit(""))) > 0) | F.col("leading").isNotNull())
     score = overlap_mismatch(words(F.concat_ws(" ", F.coalesce("doc", F.lit("")), "leading")), F.col("code_tokens"))

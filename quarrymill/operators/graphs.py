@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.kept import large
+
 
 def call_depths(nodes: Iterable, edges: dict) -> list[int]:
     """Edges of the deepest walk from each node. Each node is walked once, in the order given, and keeps its depth;
@@ -76,7 +78,7 @@ def longest_paths(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataF
     at = F.col("at") if "at" in starts.columns else F.lit(0)
     named = starts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct(at.alias("at"), "node"))), lambda x: x["node"]).alias("_nodes"))
     linked = edges.where("src <> dst").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias("_links"))
-    both = named.join(linked, keys, "left").withColumn("_depths", depths("_nodes", "_links"))
+    both = named.join(large(linked), keys, "left").withColumn("_depths", depths("_nodes", "_links"))
     return both.select(*keys, F.explode(F.arrays_zip("_nodes", "_depths")).alias("r")).select(*keys, F.col("r._nodes").alias("node"), F.col("r._depths").alias("depth"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.core import over_at_least_one, python_round
 from quarrymill.operators import astmetrics, features, history, labels, nodes, objects, textmetrics
-from quarrymill.operators.kept import keep
+from quarrymill.operators.kept import keep, large
 
 #: Digits of the rounded columns. Rules read rounded figures.
 ROUNDED = {"comment_percentage": 1, "average_cyclomatic_complexity": 2, "nesting_variance": 3, "decision_density": 4, "boolean_expression_avg_terms": 2, "call_graph_density": 4,
@@ -26,9 +26,9 @@ def analyze(files: DataFrame, commits: DataFrame | None = None, changes: DataFra
     tree = keep(nodes.parse(nodes.spread(good)))
     structure = astmetrics.file_structure(tree).where("NOT failed")
     functions = keep(astmetrics.function_metrics(tree))
-    ranged = good.join(structure.select("file_id", "doc_ranges"), "file_id")
+    ranged = good.join(large(structure.select("file_id", "doc_ranges")), "file_id")
     lines = textmetrics.line_metrics(ranged)
-    out = good.select("file_id", F.col("path").alias("file_path")).join(structure.drop("doc_ranges", "failed"), "file_id").join(lines, "file_id")
+    out = good.select("file_id", F.col("path").alias("file_path")).join(large(structure.drop("doc_ranges", "failed")), "file_id").join(large(lines), "file_id")
     classes = objects.oo_metrics(tree, functions)
     parts = [
         astmetrics.function_rollup(functions), objects.oo_rollup(classes).drop("average_inheritance_depth", "average_wmc", "average_cbo", "max_wmc"), objects.call_graph(tree, functions).drop("cross_module_calls", "modules_called"),
@@ -41,7 +41,7 @@ def analyze(files: DataFrame, commits: DataFrame | None = None, changes: DataFra
     if commits is not None and changes is not None:
         parts.append(history.vcs_metrics(files, commits, changes))
     for x in parts:
-        out = out.join(x, "file_id", "left")
+        out = out.join(large(x), "file_id", "left")
     nulls = {"vcs_available": F.lit(False)} | {c: F.lit(None).cast("long") for c in ("lines_added", "lines_deleted", "num_authors", "file_age_days", "commit_bursts")}
     nulls |= {"coupled_file_changes": F.lit(None).cast("map<string,bigint>"), "vcs_top_coupled": F.lit(None).cast("array<struct<file:string,count:bigint>>")}
     nulls |= {"max_lines_per_class": F.lit(0).cast("long"), "mean_lines_per_class": F.lit(0.0), "lazy_class_indicator": F.lit(False)}

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from quarrymill.operators import nodes
 from quarrymill.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
@@ -52,6 +53,20 @@ def test_query_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.parametrize("name", ["tpl_oo", "tpl_callgraph", "tpl_cross_map"])
+def test_tables_that_grow_with_the_files_are_not_broadcast(spark, name):
+    """Their guessed sizes are those of the input before files became trees."""
+    plan = catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tasks_hold_a_stated_number_of_files(spark, monkeypatch):
+    monkeypatch.setattr(nodes, "FILES", 10)
+    files = spark.range(300).selectExpr("id AS file_id", "'x = 1' AS content")
+    assert nodes.spread(files).rdd.getNumPartitions() == 30
+
+
 def test_entry(spark):
     import __spark_entry__
 
