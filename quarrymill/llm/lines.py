@@ -161,11 +161,10 @@ def linked_lines(distinct: DataFrame, scratch: Scratch, tau: int = TAU, min_char
     return good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, scratch: Scratch, tau: int = TAU, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> all lines with a word (doc_id, line_no, h1, h2), and of those lines that are not alone in
     their class (h1, h2, n_links, class_doc, class_line): the number of different lines within tau edits and the
     first occurrence of the class."""
-    scratch = Scratch(docs.sparkSession, "lines")
     rows = occurrences(docs)
     distinct = rows.groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
     distinct = scratch.table(_named(distinct).withColumn("id", F.monotonically_increasing_id()))
@@ -179,12 +178,14 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     found = _named(rows).drop("line")
     first = found.join(crowd, ["h1", "h2"]).groupBy("label").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
     named = crowd.join(first, "label").select("h1", "h2", "n_links", F.col("f.doc_id").alias("class_doc"), F.col("f.line_no").alias("class_line"))
-    return found, scratch.table(named)
+    named = scratch.table(named)
+    scratch.only(named)
+    return found, named
 
 
 def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text) -> doc_id, line_no, class_doc, class_line, n_links, removed: one row for each line with a word."""
-    found, named = line_classes(docs, tau, min_chars)
+    found, named = line_classes(docs, Scratch(docs.sparkSession, "lines"), tau, min_chars)
     rows = found.join(named, ["h1", "h2"], "left")
     own = F.coalesce(F.struct("class_doc", "class_line") == F.struct("doc_id", "line_no"), F.lit(True))
     return rows.select(
@@ -247,7 +248,7 @@ def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_C
     Only the lines that a document has from one that it is a near-duplicate of, by the near-duplicate operator's test
     on what the two become here, stay in it: so it reaches that operator as a near-duplicate, and goes there as a whole."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found, named = line_classes(docs, tau, min_chars)
+    found, named = line_classes(docs, scratch, tau, min_chars)
     repeated = found.join(named, ["h1", "h2"]).where("NOT (class_doc = doc_id AND class_line = line_no)")
     gone = scratch.table(repeated.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "class_doc")).alias("_gone")).withColumnRenamed("doc_id", "_id"))
     firsts = gone.select(F.explode(F.array_distinct("_gone.class_doc")).alias("_id")).distinct().withColumn("_first", F.lit(True))
@@ -257,6 +258,7 @@ def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_C
     # one shuffle of the texts, for those that lose lines and for those where the lines first stand
     marked = scratch.table(rows.join(marks, F.col("_doc") == F.col("_id"), "left").drop("_doc"))
     copies = scratch.table(_copies(marked, similarity, scratch))
+    scratch.only(marked, copies)
     goes = F.filter("_gone", lambda g: F.col("_of").isNull() | (g["class_doc"] != F.col("_of")))
     # only documents that lose lines meet the copies
     cut = marked.where("_gone IS NOT NULL").join(copies, "_id", "left").select("_row", F.transform(goes, lambda g: g["line_no"]).alias("_gone"))

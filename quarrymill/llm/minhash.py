@@ -149,9 +149,9 @@ def shingle_rows(texts_of: DataFrame) -> DataFrame:
     return texts_of.mapInArrow(trimmed(run), "node long, g long")
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     ids = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(signatures(docs))
@@ -160,6 +160,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     banded = first.select("node", "n", F.explode("bands").alias("key"))
     crowds = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_b")).where("centre < _b").select("key", "centre")
     shared = scratch.table(banded.join(crowds, "key").select("key", "node", "n", "centre").distinct())
+    # the bands, most of what was written so far, have served
+    signed, wide = scratch.table(signed.drop("bands")), signed
+    scratch.drop(wide)
     members = shared.select("node").distinct()
     # the texts of all candidates, once: what follows reads these and no longer all documents
     whole = scratch.table(docs.join(members, docs["doc_id"] == members["node"]).select("node", "text"))
@@ -181,8 +184,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         """Confirms pairs that were not compared yet, and takes their links in."""
         nonlocal tried, links, labels
         fresh = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = scratch.table(tried.union(fresh))
+        old, tried = tried, scratch.table(tried.union(fresh))
+        scratch.drop(old)
         found = linked(fresh)
+        scratch.drop(fresh)
         if not found.isEmpty():
             links = scratch.table(links.union(found))
             labels = scratch.table(components(links, scratch))
@@ -238,7 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     names = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    scratch.drop(whole)
+    scratch.only(signed, nodes, labels)
     return rows.select(F.col("doc_id").cast(ids).alias("doc_id"), "n_shingles", component.cast(ids).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -246,6 +251,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataF
     """The documents, all columns, without those that a document of smaller doc_id stands for.
 
     The ids of these are written, so that Spark knows their size before it plans the join: it broadcasts them only if small."""
-    gone = near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    gone = Scratch(docs.sparkSession, "minhash").table(gone)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    gone = scratch.table(near_duplicates(docs, similarity, scratch).where("NOT kept").select(F.col("doc_id").alias("_gone")))
+    scratch.only(gone)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarrymill.llm import common
 
 
 def test_stages(spark, tmp_path):
@@ -58,3 +60,17 @@ def test_near_duplicates_from_four_fifths(spark):
     for other, kept in ((1, {0}), (2, {0, 2})):
         docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in (0, other)], "doc_id long, text string")
         assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == kept
+
+
+def test_stages_leave_only_what_their_results_read(spark, tmp_path, monkeypatch):
+    """All other tables would stay on disk through the stages that follow."""
+    made = []
+    monkeypatch.setattr(common, "_made", made)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, "\n".join(" ".join(words[(k + 7 * (i // 2)) % 180 :][:12]) for k in range(9)), "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage, most in ((corpus_pipeline.line_stage, 2), (corpus_pipeline.near_duplicate_stage, 1)):
+        made.clear()
+        out = stage(spark, docs, "")
+        left = [p for _, base in made for p in Path(base.removeprefix("file://").removeprefix("file:")).glob("*")]
+        assert out.count() > 0 and 0 < len(left) <= most
