@@ -53,7 +53,7 @@ def test_query_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
-@pytest.mark.parametrize("name", ["tpl_oo", "tpl_callgraph", "tpl_cross_map"])
+@pytest.mark.parametrize("name", ["tpl_oo", "tpl_callgraph", "tpl_cross_map", "tpl_lines", "tpl_maintain"])
 def test_tables_that_grow_with_the_files_are_not_broadcast(spark, name):
     """Their guessed sizes are those of the input before files became trees."""
     plan = catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
