@@ -14,14 +14,18 @@ of the parent.
    what the cells need: a context's customers and tables, a dish's part in the parent. What passes is one entry for each
    word of a cell, whatever the word's number of tokens.
 3. Gibbs sampling: with that reply a cell draws the number of tables of each of its dishes from the conditional
-   distribution given all others: t tables of n customers have a weight of S(n, t) a^t, where S counts the seatings
-   of all n customers (generalized Stirling numbers) and a is the weight of a new table. That seats every customer anew
+   distribution given all others: t tables of n customers have a weight of S(n, t) a1 ... at, where S counts the seatings
+   of all n customers (generalized Stirling numbers) and ai is the weight of an i-th new table, in its own restaurant, where all tables before
+   it make a new one likelier, and in the parent's, where it is one more customer of the dish. That seats every customer anew
    once a sweep, however many a dish has: exactly up to SMALL customers, and by the saddle point of the same weights
-   above. All cells sweep at a time, between exchanges with the shards. After BURN sweeps, SAMPLES draws are averaged, and so are the predictive
-   probabilities, which sum to one over the words.
+   above, with the ai of the middle table of the last sweep. All cells sweep at a time, between exchanges with the shards.
+   Discount and strength of the contexts, and of the parent, are drawn after every sweep, given all seats: cells and shards tell the logarithm of
+   their likelihood at the NODES of a window that is laid at random around the present values, and the driver draws by slices
+   from the polynomial through them and the prior (a flat one for discounts, exp(-x) for strengths). After BURN sweeps, the
+   predictive probabilities of SAMPLES sweeps, each with its own seats, discounts and strengths, are averaged; they sum to one over the words.
 4. Documents are read again, and their tokens' pairs meet the cells, which send back sums for each document.
 
-Discounts come from the counts of counts, n1 / (n1 + 2 n2), of pairs and of the words' contexts.
+Before the first sweep strengths are STRENGTH, and discounts come from the counts of counts, n1 / (n1 + 2 n2), of pairs and of the words' contexts.
 
 Cases: null and empty texts are the end token alone; a null doc_id stays null; A-Z count as a-z; texts are scored whole, each in one
 block; repeated rows are trained on and scored one by one; with no training token every token has the uniform probability; an
@@ -30,11 +34,13 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.polynomial import chebyshev
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +51,16 @@ BLOCK_TOKENS = 1_000_000
 #: Bytes of text for each cell; small inputs have FEW_CELLS of FEWER_BYTES, so that more tasks share the work.
 CELL_BYTES, FEW_CELLS, FEWER_BYTES = 32 << 20, 16, 1 << 20
 STRENGTH, BURN, SAMPLES, SMALL = 0.5, 1, 4, 64
+#: A window of the logit of a discount and the logarithm of a strength: points on each side, and how wide.
+NODES, WINDOW, FARTHEST = 12, (1.0, 2.0), (6.0, 12.0)
+_EXACT = 2.0**12  # logarithms of likelihoods are whole numbers of this part, so that sums don't depend on their order
 END = b"\n"  # no word holds white space
 _NO_ID = -(1 << 63)
 _FINE = 2.0**32  # sums of logarithms of counts travel as whole numbers of this part
 ROW = "key long, kind int, ref long, a binary, b binary, s array<double>"
 _SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("ref", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("s", pa.list_(pa.float64()))])
 #: Kinds of rows, in the order in which a cell needs them.
-CELL, TOLD_DISHES, TOLD_CONTEXTS, DISHES, CONTEXTS, ASKED, HEAD, TOTALS = range(8)
+CELL, TOLD_DISHES, TOLD_CONTEXTS, DISHES, CONTEXTS, ASKED, HEAD, TOTALS, LIKELY = range(9)
 
 
 # --- arrays as bytes ------------------------------------------------------------------------------------------------
@@ -176,27 +185,39 @@ def log_stirling(n: int, discount: float) -> np.ndarray:
     return out
 
 
-def draw_tables(n: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, small: int = SMALL) -> np.ndarray:
-    """The number of tables of n customers of a dish, t, with probability in proportion to S(n, t) weight^t.
+def draw_tables(n: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, small: int = SMALL, grows: tuple[np.ndarray, ...] = (), before: np.ndarray | None = None) -> np.ndarray:
+    """The number of tables of n customers of a dish, t, with probability in proportion to S(n, t) times the weights of
+    tables 1 to t. That of table i + 1 is weight times 1 + i g for each g in grows.
 
     Above small customers: seatings are sets of tables, whose sizes have the generating function weight * phi(x), phi(x) =
     (1 - (1 - x)^discount) / discount; the x at which n customers are expected gives the number of tables' mean and
-    variance, a Poisson number where there are few and a normal one where there are many."""
+    variance, a Poisson number where there are few and a normal one where there are many. There all tables have the weight of the middle one
+    of the tables before."""
     t = np.minimum(n, 1).astype(np.int64)
     weight = np.maximum(weight, 1e-300)
     logs, low = log_stirling(small, discount), 1
+    plain = np.exp(logs[:17, :17])
     for high in (2, 4, 8, 16, 32, small):  # dishes of like sizes together: short rows
         some = np.flatnonzero((n > low) & (n <= high))
-        tables = np.arange(1, high + 1)
         for i in range(0, len(some), 1 << 16):
             part = some[i : i + (1 << 16)]
-            p = logs[n[part], 1 : high + 1] + np.log(weight[part])[:, None] * tables
-            p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
+            w = np.repeat(weight[part][:, None], high, axis=1)
+            for g in grows:
+                w *= 1 + g[part][:, None] * np.arange(high)
+            w[:, 0] = 1  # there is one table at least
+            if high <= 16:
+                p = plain[n[part], 1 : high + 1] * np.cumprod(w, axis=1)
+            else:
+                p = logs[n[part], 1 : high + 1] + np.cumsum(np.log(w), axis=1)
+                p = np.exp(p - p.max(1, keepdims=True))
+            p = np.cumsum(p, axis=1)
             t[part] = 1 + (p < (rng.random(len(part)) * p[:, -1])[:, None]).sum(1)
         low = high
     big = np.flatnonzero(n > small)
     if len(big):
         count, a = n[big].astype(float), weight[big]
+        for g in grows:
+            a = a * (1 + g[big] * np.maximum(before[big] - 1, 0) / 2)
         lower, upper = np.full(len(big), -700.0), np.zeros(len(big))  # log(1 - x)
         for _ in range(60):
             y = (lower + upper) / 2
@@ -211,12 +232,117 @@ def draw_tables(n: np.ndarray, weight: np.ndarray, discount: float, rng: np.rand
     return t
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers."""
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
+
+
+def log_big_stirling(n: np.ndarray, t: np.ndarray, discount: float, points: int = 32) -> np.ndarray:
+    """log S(n, t) of many customers: n! / t! times the coefficient of x^n in phi(x)^t, by Cauchy's integral over a parabola
+    around the cut from 1 on, through the saddle point or, where that is nearer to 1, through 1 - 2 / n. Within 0.02
+    where nearly all customers have tables of their own, elsewhere far nearer."""
+    n, t, d = n.astype(float), t.astype(float), discount
+    lower, upper = np.full(len(n), -600.0), np.full(len(n), -1e-12)  # log(1 - x) at the saddle point
+    for _ in range(30):
+        y = (lower + upper) / 2
+        more = d * -np.expm1(y) * np.exp((d - 1) * y) > n / t * -np.expm1(d * y)
+        lower, upper = np.where(more, y, lower), np.where(more, upper, y)
+    z = np.maximum(np.exp((lower + upper) / 2), 2 / n)
+    x, phi = 1 - z, -np.expm1(d * np.log(z)) / d
+    mean = x * z ** (d - 1) / phi
+    spread = np.maximum(mean + x * x * (1 - d) * z ** (d - 2) / phi - mean * mean, 0.0)
+    step = 8 / np.sqrt(np.maximum(4.0, 4 * (z / x) ** 2 * t * spread)) / points
+    start, total = t * np.log(phi) - (n + 1) * np.log(x), np.zeros(len(n))
+    for i in range(points):
+        u = 1 + 1j * i * step
+        w = z * u * u
+        part = np.exp(t * np.log((1 - w**d) / d) - (n + 1) * np.log(1 - w) - start) * u
+        total += part.real * (0.5 if i == 0 else 1.0)
+    many = log_gamma(n + 1) - log_gamma(t + 1) + start + np.log(np.maximum(total * step * 2 * z / np.pi, 1e-300))
+    return np.where(t >= n, 0.0, many)
+
+
+def log_dishes(n: np.ndarray, t: np.ndarray, discounts: np.ndarray, small: int = SMALL) -> np.ndarray:
+    """The sum of log S(n, t) over dishes, for each discount."""
+    little = (n <= small) & (n > 1)
+    held = np.bincount(n[little] * (small + 1) + t[little], minlength=(small + 1) ** 2).reshape(small + 1, -1)
+    at = np.nonzero(held)
+    big = n > small
+    pairs, many = np.unique(np.stack([n[big], t[big]]), axis=1, return_counts=True)
+    return np.array([(held[at] * log_stirling(small, d)[at]).sum() + (many * log_big_stirling(*pairs, d)).sum() for d in discounts])
+
+
+def log_restaurants(tables: np.ndarray, customers: np.ndarray, discounts: np.ndarray, strengths: np.ndarray) -> np.ndarray:
+    """The sum over restaurants of the logarithm of what opening their tables and seating their customers weighs, for each
+    discount and strength: (strength + discount) (strength + 2 discount) ... by (strength + 1) (strength + 2) ..."""
+    (t, at), (c, ac) = (np.unique(x[x > 0], return_counts=True) for x in (tables, customers))
+    out = np.zeros((len(discounts), len(strengths)))
+    for j, s in enumerate(strengths):
+        out[:, j] -= (ac * (log_gamma(s + c) - log_gamma(np.array([s + 1])))).sum()
+        for i, d in enumerate(discounts):
+            out[i, j] += (at * ((t - 1) * np.log(d) + log_gamma(s / d + t) - log_gamma(np.array([s / d + 1])))).sum()
+    return out
+
+
+def _exact(x: np.ndarray) -> list[float]:
+    return (np.rint(x.ravel() * _EXACT) / _EXACT).tolist()
+
+
+class Window:
+    """Discounts and strengths at which a level's likelihood is told, around the present ones. It lies at random, so that a draw
+    within it leaves the distribution as it is."""
+
+    def __init__(self, discount: float, strength: float, rng: np.random.Generator):
+        self.at = np.array([np.log(discount / (1 - discount)), np.log(strength)])
+        self.low = self.at - rng.random(2) * WINDOW
+        places = [low + width * (1 + self.points()) / 2 for low, width in zip(self.low, WINDOW, strict=True)]
+        self.discounts, self.strengths = 1 / (1 + np.exp(-places[0])), np.exp(places[1])
+
+    @staticmethod
+    def points() -> np.ndarray:
+        return np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)
+
+    def draw(self, likely: np.ndarray, rng: np.random.Generator, steps: int = 100) -> tuple[float, float]:
+        """likely: its logarithm, by discounts and strengths. A discount and a strength given all seats."""
+        fit = np.linalg.inv(chebyshev.chebvander(self.points(), NODES - 1))
+        terms = fit @ (likely - likely.max()) @ fit.T
+
+        def log(x: np.ndarray) -> float:
+            if (np.abs(x) > FARTHEST).any():
+                return -np.inf
+            u, v = 2 * (x - self.low) / WINDOW - 1
+            return float(chebyshev.chebval2d(u, v, terms)) - np.logaddexp(0, x[0]) - np.logaddexp(0, -x[0]) + x[1] - np.exp(x[1])
+
+        x = self.at.copy()
+        for _ in range(steps):
+            for i in (0, 1):
+                level, low, high = log(x) + np.log(1 - rng.random()), self.low[i], self.low[i] + WINDOW[i]
+                new = x.copy()
+                while True:
+                    new[i] = rng.uniform(low, high)
+                    if log(new) >= level or high - low < 1e-12:
+                        break
+                    low, high = (new[i], high) if new[i] < x[i] else (low, new[i])
+                x = new
+        return float(1 / (1 + np.exp(-x[0]))), float(np.exp(x[1]))
+
+
 class World:
     """What all cells and shards share."""
 
     def __init__(self, ones: float, twos: float):
         self.discount, self.parent_discount = self.ratio(ones, twos), 0.5
+        self.strength = self.parent_strength = STRENGTH
         self.customers = self.tables = self.words = self.tokens = 0.0
+        self.window = self.parent_window = None
+        self.past: list[World] = []  # of the sweeps that count so far
+
+    def keep(self) -> None:
+        """Lets what holds now count in the predictions."""
+        now = copy.copy(self)
+        now.past = []
+        self.past = [*self.past, now]
 
     @staticmethod
     def ratio(a: float, b: float) -> float:
@@ -226,9 +352,26 @@ class World:
     def uniform(self) -> float:
         return 1 / (self.words + 1)
 
+    @property
+    def rest(self) -> float:
+        """What the parent leaves to new tables of a word."""
+        return (self.parent_strength + self.parent_discount * self.tables) * self.uniform
+
     def parent(self, own: np.ndarray) -> np.ndarray:
         """The probability of words without context, from customers less discounts of each."""
-        return (own + (STRENGTH + self.parent_discount * self.tables) * self.uniform) / (STRENGTH + self.customers)
+        return (own + self.rest) / (self.parent_strength + self.customers)
+
+    def look(self, rng: np.random.Generator) -> None:
+        """Lays the windows for the next draw."""
+        self.window, self.parent_window = Window(self.discount, self.strength, rng), Window(self.parent_discount, self.parent_strength, rng)
+
+    def draw(self, dishes: np.ndarray, told: np.ndarray, rng: np.random.Generator) -> None:
+        """Discounts and strengths, given what cells and shards told of the windows."""
+        restaurants, words = told[: NODES * NODES].reshape(NODES, NODES), told[NODES * NODES :]
+        self.discount, self.strength = self.window.draw(dishes[:, None] + restaurants, rng)
+        w = self.parent_window
+        above = log_restaurants(np.array([self.tables]), np.array([self.customers]), w.discounts, w.strengths)
+        self.parent_discount, self.parent_strength = w.draw(words[:, None] + above, rng)
 
 
 class Cell:
@@ -238,6 +381,10 @@ class Cell:
         """code: number of the word times the number of contexts, plus that of the context; ascending."""
         self.words, self.contexts, self.code, self.n, self.tables = words, contexts, code, n, tables
         self.word, self.context = np.divmod(code, max(1, len(contexts)))
+        self.busy = np.flatnonzero(n >= 2)  # one customer has one table
+        #: Of each sweep that counts so far: tables of the busy pairs, customers and tables of the words in the parent, tables of the contexts.
+        self.sheets: list[list[np.ndarray]] = []
+        self.raw, self.means = b"", None
 
     @staticmethod
     def of(messages: list[bytes]) -> Cell:
@@ -259,13 +406,26 @@ class Cell:
     def load(row: dict) -> Cell:
         words, contexts, pairs, which, n = unpack(row["a"], np.uint64, np.uint64, np.uint32, np.uint32, np.int64)
         code = np.repeat(np.arange(len(words)), pairs) * len(contexts) + which
-        return Cell(sums(words), sums(contexts), code, n, unpack(row["b"], np.float32)[0])
-
-    def rows(self, key: int, bits: tuple[int, int]) -> list[tuple]:
+        cell = Cell(sums(words), sums(contexts), code, n, np.ones(len(code), np.float32))
+        sizes = (len(cell.busy), len(words), len(words), len(contexts))
+        read = unpack(row["b"], np.float32)[0]
+        cell.tables[cell.busy], at = read[: sizes[0]], sizes[0]
+        while at < len(read):
+            cuts = at + np.cumsum(sizes)
+            cell.sheets.append(np.split(read[at : cuts[-1]], cuts[:-1] - at))
+            at = cuts[-1]
+        cell.raw = row["a"]  # it stays as it is
+        return cell
+
+    def rows(self, key: int, bits: tuple[int, int], window: Window | None = None) -> list[tuple]:
         """The cell itself, and what it tells the shards of its words."""
-        pairs = np.bincount(self.word, minlength=len(self.words)).astype(np.uint32)
-        a = pack(steps(self.words), steps(self.contexts), pairs, self.context.astype(np.uint32), self.n)
-        out = [(key, CELL, key, a, pack(self.tables.astype(np.float32)), [float((self.n == 1).sum()), float((self.n == 2).sum())])]
+        a = self.raw
+        if not a:
+            pairs = np.bincount(self.word, minlength=len(self.words)).astype(np.uint32)
+            a = pack(steps(self.words), steps(self.contexts), pairs, self.context.astype(np.uint32), self.n)
+        b = pack(np.concatenate([self.tables[self.busy], *[x for sheet in self.sheets for x in sheet]]).astype(np.float32))
+        likely = _exact(log_dishes(self.n, np.rint(self.tables).astype(np.int64), window.discounts)) if window else []
+        out = [(key, CELL, key, a, b, [float((self.n == 1).sum()), float((self.n == 2).sum()), *likely])]
         counts = np.bincount(self.word, self.n, len(self.words)).astype(np.int64)
         for kind, hashes, of, more in ((TOLD_DISHES, self.words, self.word, [counts]), (TOLD_CONTEXTS, self.contexts, self.context, [])):
             tables = np.bincount(of, self.tables, len(hashes)).astype(np.float32)
@@ -277,37 +437,68 @@ class Cell:
 
     def hear(self, replies: list[dict], world: World) -> None:
         """Takes in what the shards say, which come in the order of the hashes."""
-        said = {k: [unpack(r["a"], np.float32, np.int64) for r in replies if r["kind"] == k] for k in (DISHES, CONTEXTS)}
-        join = lambda k, i, kind: np.concatenate([x[i] for x in said[k]]) if said[k] else np.zeros(0, kind)
-        self.parent, self.word_counts = world.parent(join(DISHES, 0, np.float32).astype(float)), join(DISHES, 1, np.int64).astype(float)
-        self.context_tables, self.customers = join(CONTEXTS, 0, np.float32).astype(float), join(CONTEXTS, 1, np.int64).astype(float)
+        kinds = {DISHES: (np.float32, np.float32, np.int64), CONTEXTS: (np.float32, np.int64)}
+        said = {k: [unpack(r["a"], *kinds[k]) for r in replies if r["kind"] == k] for k in kinds}
+        join = lambda k, i: np.concatenate([x[i] for x in said[k]]).astype(float) if said[k] else np.zeros(0)
+        self.word_customers, self.word_tables, self.word_counts = (join(DISHES, i) for i in range(3))
+        self.parent = world.parent(np.maximum(self.word_customers - world.parent_discount * self.word_tables, 0.0))
+        self.context_tables, self.customers = join(CONTEXTS, 0), join(CONTEXTS, 1)
 
     def sweep(self, world: World, draws: int, rng: np.random.Generator) -> None:
         """Seats the customers of every dish anew; the mean of so many draws."""
-        busy = np.flatnonzero(self.n >= 2)  # one customer has one table
-        others = np.maximum(self.context_tables[self.context[busy]] - self.tables[busy], 0)
-        weight = (STRENGTH + world.discount * others) * self.parent[self.word[busy]]
+        busy = self.busy
+        before = self.tables[busy].astype(float)
+        # without the dish's own tables
+        own = world.strength + world.discount * np.maximum(self.context_tables[self.context[busy]] - before, 0)
+        word = self.word[busy]
+        others = np.maximum(self.word_customers[word] - before, 0)
+        above = others - world.parent_discount * np.minimum(self.word_tables[word], others) + world.rest
+        weight, grows = own * above / (world.parent_strength + world.customers), (world.discount / own, 1 / above)
         total = np.zeros(len(busy))
         for _ in range(draws):
-            total += draw_tables(self.n[busy], weight, world.discount, rng)
+            total += draw_tables(self.n[busy], weight, world.discount, rng, grows=grows, before=before)
         self.tables[busy] = total / draws
 
-    def probability(self, word: np.ndarray, context: np.ndarray, world: World) -> np.ndarray:
-        """Of words in contexts, both by their numbers here."""
+    def keep(self) -> None:
+        """Lets the present seats count in the predictions."""
+        self.sheets.append([self.tables[self.busy], self.word_customers, self.word_tables, self.context_tables])
+
+    def average(self, word: np.ndarray, context: np.ndarray, world: World) -> np.ndarray:
+        """The mean probability by the seats that were kept, under what held then, and the present ones."""
+        if self.means is None:
+            own, parts = np.zeros(len(self.n)), []
+            now = [self.tables[self.busy], self.word_customers, self.word_tables, self.context_tables]
+            for then, (tables, customers, seated, of_contexts) in zip([*world.past, world], [*self.sheets, now], strict=True):
+                t = np.ones(len(self.n))
+                t[self.busy] = tables
+                own += (self.n - then.discount * t) / (then.strength + self.customers[self.context])
+                back = (then.strength + then.discount * of_contexts) / (then.strength + self.customers)
+                parts.append((back, then.parent(np.maximum(customers - then.parent_discount * seated, 0.0))))
+            self.means = own, parts
+        total = self._of_pairs(self.means[0], word, context)
+        for back, parent in self.means[1]:
+            total += back[context] * parent[word]
+        return total / len(self.means[1])
+
+    def _of_pairs(self, x: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """What x holds for these pairs; 0 for pairs that training doesn't have."""
         code = word * len(self.contexts) + context
-        own = np.zeros(len(code))
-        if len(self.code):
-            at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-            own = np.where(self.code[at] == code, self.n[at] - world.discount * self.tables[at], 0.0)
-        d = world.discount
-        return (own + (STRENGTH + d * self.context_tables[context]) * self.parent[word]) / (STRENGTH + self.customers[context])
+        if not len(self.code):
+            return np.zeros(len(code))
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[at] == code, x[at], 0.0)
+
+    def probability(self, word: np.ndarray, context: np.ndarray, world: World) -> np.ndarray:
+        """Of words in contexts, both by their numbers here, by the present seats."""
+        own = self._of_pairs(self.n - world.discount * self.tables, word, context)
+        return own / (world.strength + self.customers[context]) + ((world.strength + world.discount * self.context_tables) / (world.strength + self.customers))[context] * self.parent[word]
 
     def answer(self, ask: dict, world: World) -> bytes:
         """Sums for each document of a block: its number there, logs of probabilities, logs of counts, known tokens."""
         w, pairs, c, which, _ = unpack(ask["a"], np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
         many, of = unpack(ask["b"], np.uint32, np.uint32)
         word = np.repeat(np.searchsorted(self.words, sums(w)), pairs)
-        logs = np.repeat(np.log10(self.probability(word, np.searchsorted(self.contexts, sums(c))[which], world)), many)
+        logs = np.repeat(np.log10(self.average(word, np.searchsorted(self.contexts, sums(c))[which], world)), many)
         counts = np.repeat(self.word_counts[word], many)
         docs, of = np.unique(of, return_inverse=True)
         add = lambda x: np.bincount(of, x, len(docs))
@@ -329,13 +520,17 @@ def shard_rows(rows: list[dict], world: World, first: bool, rng: np.random.Gener
     whole = np.rint(customers).astype(np.int64)
     seated = np.minimum(whole, 1)
     if not first:
-        weight = (STRENGTH + world.parent_discount * max(0.0, world.tables - 1)) * world.uniform
-        seated = draw_tables(whole, np.full(len(whole), weight), world.parent_discount, rng)
-    own = np.maximum(customers - world.parent_discount * seated, 0.0)
+        left = world.parent_strength + world.parent_discount * max(0.0, world.tables - 1)
+        grows = np.full(len(whole), world.parent_discount / left)
+        seated = draw_tables(whole, np.full(len(whole), left * world.uniform), world.parent_discount, rng, grows=(grows,), before=np.ones(len(whole)))
     out = [(-1, TOTALS, 0, b"", b"", [float(x) for x in (customers.sum(), seated.sum(), (counts > 0).sum(), counts.sum(), (whole == 1).sum(), (whole == 2).sum())])]
+    if world.window:
+        contexts = counts > 0
+        likely = log_restaurants(np.rint(tables[contexts]), counts[contexts], world.window.discounts, world.window.strengths)
+        out.append((-1, LIKELY, 0, b"", b"", [*_exact(likely), *_exact(log_dishes(whole, seated, world.parent_window.discounts))]))
     for (r, _), at in zip(told, places, strict=True):
-        kind, said = (DISHES, own) if r["kind"] == TOLD_DISHES else (CONTEXTS, tables)
-        out.append((r["ref"], kind, r["key"], pack(said[at].astype(np.float32), counts[at].astype(np.int64)), b"", None))
+        kind, said = (DISHES, (customers, seated)) if r["kind"] == TOLD_DISHES else (CONTEXTS, (tables,))
+        out.append((r["ref"], kind, r["key"], pack(*[x[at].astype(np.float32) for x in said], counts[at].astype(np.int64)), b"", None))
     return out
 
 
@@ -380,13 +575,15 @@ def score(docs: DataFrame, train: Column, burn: int = BURN, samples: int = SAMPL
 
         return work
 
-    def sweeper(world: World, draws: int, k: int):  # noqa: ANN202
+    def sweeper(world: World, counts: bool, k: int):  # noqa: ANN202
         def work(t: pa.Table) -> pa.Table:
             rows = _dicts(t)
             cell = Cell.load(rows[0])
             cell.hear(rows[1:], world)
-            cell.sweep(world, draws, np.random.default_rng([seed, k, 2, rows[0]["key"]]))
-            return _table(cell.rows(rows[0]["key"], bits))
+            if counts:
+                cell.keep()
+            cell.sweep(world, 1, np.random.default_rng([seed, k, 2, rows[0]["key"]]))
+            return _table(cell.rows(rows[0]["key"], bits, world.window))
 
         return work
 
@@ -401,18 +598,19 @@ def score(docs: DataFrame, train: Column, burn: int = BURN, samples: int = SAMPL
         world.customers, world.tables, world.words, world.tokens = customers, tables, words, tokens
         if k == 0:
             world.parent_discount = world.ratio(ones, twos)
-            # the first seats have one table a word whatever the discount, but what is left of each depends on it
-            again = scratch.table(by_key(cells.where(F.col("kind").isin(TOLD_DISHES, TOLD_CONTEXTS)), shard(world, True, k), 1 << max(bits)), "none")
-            scratch.drop(replies)
-            replies = again
-        return replies.where(F.col("kind") != TOTALS), replies
+        elif tokens:
+            world.draw(np.array(total(cells, CELL)[2:]), np.array(total(replies, LIKELY)), np.random.default_rng([seed, k, 3]))
+        return replies.where(~F.col("kind").isin(TOTALS, LIKELY)), replies
 
     cells = scratch.table(by_key(blocks(docs, bits, False), gather, 1 << all_bits), "none")
     world = World(*(total(cells, CELL) or [0.0, 0.0]))
     replies, written = exchange(cells, 0)
-    for k in range(1, burn + 2):
-        draws = samples if k == burn + 1 else 1
-        after = scratch.table(by_key(cells.where(F.col("kind") == CELL).union(replies), sweeper(world, draws, k), 1 << all_bits), "none")
+    for k in range(1, burn + samples + 1):
+        # the seats of the sweep before count if burn sweeps went before them
+        if k > burn + 1:
+            world.keep()
+        world.look(np.random.default_rng([seed, k, 4]))
+        after = scratch.table(by_key(cells.where(F.col("kind") == CELL).union(replies), sweeper(world, k > burn + 1, k), 1 << all_bits), "none")
         scratch.drop(cells, written)
         cells = after
         replies, written = exchange(cells, k)

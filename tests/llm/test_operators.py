@@ -681,6 +681,77 @@ def test_drawn_tables_follow_their_weights():
     assert pitman_yor.draw_tables(np.array([0, 1, 10**9]), np.array([1.0, 1.0, 5.0]), 0.6, rng)[:2].tolist() == [0, 1]
 
 
+def test_tables_make_further_tables_likelier():
+    rng = np.random.default_rng(9)
+    for n, weight, d, grows in ((3, 0.3, 0.7, (0.9, 4.0)), (12, 0.05, 0.5, (0.5, 30.0)), (50, 0.01, 0.8, (2.0, 9.0))):
+        i = np.arange(n)
+        logs = pitman_yor.log_stirling(n, d)[n, 1:] + np.cumsum(np.log(weight * (1 + grows[0] * i) * (1 + grows[1] * i)))
+        p = np.exp(logs - logs.max())
+        t = pitman_yor.draw_tables(np.full(40_000, n), np.full(40_000, weight), d, rng, grows=tuple(np.full(40_000, g) for g in grows))
+        assert np.abs(np.bincount(t, minlength=n + 1)[1:] / 40_000 - p / p.sum()).max() < 0.012
+
+
+def test_seatings_of_many_customers():
+    for d in (0.1, 0.5, 0.8, 0.95):
+        exact = pitman_yor.log_stirling(300, d)
+        n, t = (x.ravel() for x in np.meshgrid([65, 130, 300], [1, 2, 4, 11, 30, 60]))
+        assert np.abs(pitman_yor.log_big_stirling(n, t, d) - exact[n, t]).max() < 0.02
+        some = np.array([1, 2, 9, 64]), np.array([1, 1, 4, 30])
+        assert np.allclose(pitman_yor.log_dishes(*some, np.array([d])), exact[some].sum())
+    assert np.allclose(pitman_yor.log_gamma(np.array([0.01, 0.5, 7, 900])), [math.lgamma(x) for x in (0.01, 0.5, 7, 900)])
+    got = pitman_yor.log_restaurants(np.array([3, 1]), np.array([5, 2]), np.array([0.4]), np.array([2.0]))
+    assert math.isclose(got[0, 0], math.log((2.4 * 2.8) / (3 * 4 * 5 * 6) / 3))
+
+
+def test_discounts_and_strengths_are_drawn():
+    """From tables that were opened with a known discount and strength, by a start far from them."""
+    rng, d, strength = np.random.default_rng(10), 0.7, 3.0
+    n, t, tables, customers = [], [], [], []
+    for _ in range(300):
+        sizes = []
+        for _ in range(int(rng.integers(1, 150))):
+            w = np.array([*[x - d for x in sizes], strength + d * len(sizes)])
+            k = int(rng.choice(len(w), p=w / w.sum()))
+            sizes[k : k + 1] = [sizes[k] + 1] if k < len(sizes) else [1]
+        dish = rng.integers(0, 20, len(sizes))
+        tables.append(len(sizes))
+        customers.append(sum(sizes))
+        for v in set(dish.tolist()):
+            n.append(int(np.array(sizes)[dish == v].sum()))
+            t.append(int((dish == v).sum()))
+    n, t, tables, customers = (np.array(x) for x in (n, t, tables, customers))
+    at, seen = (0.3, 0.5), []
+    for _ in range(40):
+        w = pitman_yor.Window(*at, rng)
+        at = w.draw(pitman_yor.log_dishes(n, t, w.discounts)[:, None] + pitman_yor.log_restaurants(tables, customers, w.discounts, w.strengths), rng)
+        seen.append(at)
+    mean, spread = np.mean(seen[10:], axis=0), np.std(seen[10:], axis=0)
+    assert abs(mean[0] - d) < 0.03 and abs(mean[1] - strength) < 1 and (spread > 0).all()
+
+
+def test_predictions_are_averaged_over_sweeps():
+    docs = [b"a b a c a b", b"b a b c", b"a b a b a c", b"c c a"] * 3
+    sent, _ = messages(docs, [True] * 12)
+    cell = pitman_yor.Cell.of([r["a"] for r in sent[0]])
+    columns, world, each = [f.name for f in pitman_yor._SCHEMA], pitman_yor.World(3, 2), []
+    words = np.arange(len(cell.words)).repeat(len(cell.contexts))
+    contexts = np.tile(np.arange(len(cell.contexts)), len(cell.words))
+    for k in range(3):
+        told = [dict(zip(columns, r, strict=True)) for r in cell.rows(0, (0, 0))]
+        cell = pitman_yor.Cell.load(told[0])
+        said = [dict(zip(columns, r, strict=True)) for r in pitman_yor.shard_rows(told[1:], world, k == 0, np.random.default_rng(k))]
+        world.customers, world.tables, world.words, world.tokens = next(r["s"] for r in said if r["kind"] == pitman_yor.TOTALS)[:4]
+        cell.hear(sorted((r for r in said if r["kind"] != pitman_yor.TOTALS), key=lambda r: (r["kind"], r["ref"])), world)
+        each.append(cell.probability(words, contexts, world))
+        if k < 2:
+            cell.keep()
+            world.keep()
+            cell.sweep(world, 1, np.random.default_rng(k))
+            world.discount, world.strength = 0.4 + 0.1 * k, 1.0 + k
+    assert np.abs(each[0] - each[2]).max() > 0.01
+    assert np.allclose(cell.average(words, contexts, world), np.mean(each, axis=0), rtol=1e-5)
+
+
 def discounted_bigram(train, held, d=0.75):
     """log10 of held-out texts under an interpolated bigram with absolute discounts, over continuation counts."""
     end, pairs, after, kinds, contexts = None, collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
