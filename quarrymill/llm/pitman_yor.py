@@ -91,6 +91,11 @@ def sums(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))] if len(x) else x
+
+
 def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The range that a hash falls in, of 2 ** bits."""
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
@@ -114,7 +119,7 @@ def block_rows(block: int, own: np.ndarray, sizes: np.ndarray, ids: np.ndarray,
     before[1:] = place[:-1]
     before[np.cumsum(sizes) - sizes] = place[-1]  # the last token is an end
     code = place * len(words) + before
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     code = code[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
     word, context = np.divmod(code[first], len(words))
@@ -389,14 +394,14 @@ class Cell:
     @staticmethod
     def of(messages: list[bytes]) -> Cell:
         read = [unpack(x, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32) for x in messages]
-        words, contexts = (np.unique(np.concatenate([sums(x[i]) for x in read])) for i in (0, 2))
+        words, contexts = (distinct(np.concatenate([sums(x[i]) for x in read])) for i in (0, 2))
         codes, counts = [], []
         for w, pairs, c, which, n in read:
             code = np.repeat(np.searchsorted(words, sums(w)), pairs) * len(contexts) + np.searchsorted(contexts, sums(c))[which]
             codes.append(code[n > 0])
             counts.append(n[n > 0])
         code, count = np.concatenate(codes), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         code, count = code[order], count[order]
         first = np.flatnonzero(np.diff(code, prepend=-1))
         n = np.add.reduceat(count, first) if len(first) else count
@@ -474,11 +479,10 @@ class Cell:
                 own += (self.n - then.discount * t) / (then.strength + self.customers[self.context])
                 back = (then.strength + then.discount * of_contexts) / (then.strength + self.customers)
                 parts.append((back, then.parent(np.maximum(customers - then.parent_discount * seated, 0.0))))
-            self.means = own, parts
-        total = self._of_pairs(self.means[0], word, context)
-        for back, parent in self.means[1]:
-            total += back[context] * parent[word]
-        return total / len(self.means[1])
+            self.means = own, *(np.stack(x, axis=1) for x in zip(*parts, strict=True))
+        own, back, parent = self.means
+        total = self._of_pairs(own, word, context) + np.einsum("ij,ij->i", back.take(context, axis=0), parent.take(word, axis=0))
+        return total / back.shape[1]
 
     def _of_pairs(self, x: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         """What x holds for these pairs; 0 for pairs that training doesn't have."""
@@ -508,7 +512,7 @@ class Cell:
 def shard_rows(rows: list[dict], world: World, first: bool, rng: np.random.Generator) -> list[tuple]:
     """Adds up what cells told of a shard's words, seats the parent's customers, and replies to each."""
     told = [(r, unpack(r["a"], np.uint64, np.float32, *[np.int64] * (r["kind"] == TOLD_DISHES))) for r in rows]
-    words = np.unique(np.concatenate([sums(x[0]) for _, x in told]))
+    words = distinct(np.concatenate([sums(x[0]) for _, x in told]))
     counts, customers, tables = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
     places = [np.searchsorted(words, sums(x[0])) for _, x in told]
     for (r, x), at in zip(told, places, strict=True):  # a cell names a word once
